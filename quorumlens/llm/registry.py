@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlens.llm import token_counts
+from quorumlens.llm import contamination, mixing, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_sharding": sharding.op2_sharding,
+    "op3_mixing": mixing.op3_mixing,
+    "op10_contamination": contamination.op10_contamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_sharding": sharding.ORACLE,
+    "op3_mixing": mixing.ORACLE,
+    "op10_contamination": contamination.ORACLE,
+}
