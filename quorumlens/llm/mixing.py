@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import WORD, materialise, quoted, replacing, table
+from quorumlens.llm.common import WORD, materialise, quoted, table
 
 RANGE_BITS, KEY_BITS = 12, 60
 #: Sources up to which their cuts are broadcast (some 80 bytes each).
@@ -71,37 +71,37 @@ def cuts(narrow: DataFrame, weights: tuple[float, ...], share: float, most: floa
 
 def with_size(df: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     body = F.col(quoted(text))
-    return df.withColumns({"_source": F.col(quoted(source)), "_key": random_key(F.col(quoted(doc_id)), body), "_size": F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long")})
+    return df.withColumns({"__ql_source": F.col(quoted(source)), "__ql_key": random_key(F.col(quoted(doc_id)), body), "__ql_size": F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long")})
 
 
 def with_cut(df: DataFrame, cut: DataFrame) -> DataFrame:
     """df with its source's cut; the cuts are broadcast if they are few."""
-    cut = cut.withColumnsRenamed({c: f"_{c}" for c in cut.columns if c != "source"}).withColumnRenamed("source", "_cut_source")
+    cut = cut.withColumnsRenamed({c: f"__ql_{c}" for c in cut.columns if c != "source"}).withColumnRenamed("source", "__ql_cut_source")
     few = cut.count() <= FEW_SOURCES
-    return df.join(F.broadcast(cut) if few else cut, F.expr("_source <=> _cut_source"), "left").drop("_cut_source")
+    return df.join(F.broadcast(cut) if few else cut, F.expr("__ql_source <=> __ql_cut_source"), "left").drop("__ql_cut_source")
 
 
-PARTIAL = "case when _key = _cut_key then cast(floor(_cut_left / _cut_copies) as bigint) else 0L end"
-FULL = "_epochs + case when _key < _cut_key then 1L else 0L end"
+PARTIAL = "case when __ql_key = __ql_cut_key then cast(floor(__ql_cut_left / __ql_cut_copies) as bigint) else 0L end"
+FULL = "__ql_epochs + case when __ql_key < __ql_cut_key then 1L else 0L end"
 
 
 def mix_counts(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """For each row: its id, size, source_size, target and taken, the words that the mix takes of it."""
-    narrow = materialise(with_size(df, doc_id, text, source).select(F.col(quoted(doc_id)).alias("doc_id"), "_source", "_key", "_size"), "sizes")
-    cut = cuts(narrow.select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_size").alias("size")), weights, share, most)
-    return with_cut(narrow, cut).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.expr(f"({FULL}) * _size + {PARTIAL}").alias("taken"))
+    narrow = materialise(with_size(df, doc_id, text, source).select(F.col(quoted(doc_id)).alias("doc_id"), "__ql_source", "__ql_key", "__ql_size"), "sizes")
+    cut = cuts(narrow.select(F.col("__ql_source").alias("source"), F.col("__ql_key").alias("key"), F.col("__ql_size").alias("size")), weights, share, most)
+    return with_cut(narrow, cut).select("doc_id", F.col("__ql_size").alias("size"), F.col("__ql_source_size").alias("source_size"), F.col("__ql_target").alias("target"), F.expr(f"({FULL}) * __ql_size + {PARTIAL}").alias("taken"))
 
 
 def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixed corpus itself: a row of df for each epoch that takes it, the text at a cut shortened to the words taken."""
     sized = with_size(df, doc_id, text, source)
-    narrow = materialise(sized.select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_size").alias("size")), "sizes")
-    out = with_cut(sized, cuts(narrow, weights, share, most)).withColumns({"_full": F.expr(FULL), "_words": F.expr(PARTIAL)})
-    out = out.withColumn("_turns", F.col("_full") + F.when(F.col("_words") > 0, 1).otherwise(0)).filter("_turns > 0")
-    out = out.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_turns"))))
+    narrow = materialise(sized.select(F.col("__ql_source").alias("source"), F.col("__ql_key").alias("key"), F.col("__ql_size").alias("size")), "sizes")
+    out = with_cut(sized, cuts(narrow, weights, share, most)).withColumns({"__ql_full": F.expr(FULL), "__ql_words": F.expr(PARTIAL)})
+    out = out.withColumn("__ql_turns", F.col("__ql_full") + F.when(F.col("__ql_words") > 0, 1).otherwise(0)).filter("__ql_turns > 0")
+    out = out.withColumn("__ql_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__ql_turns"))))
     body = F.col(quoted(text))
-    begun = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    out = out.withColumn(text, F.when(F.col("_turn") <= F.col("_full"), body).otherwise(begun))
+    begun = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__ql_words").cast("int")), "")
+    out = out.withColumn(text, F.when(F.col("__ql_turn") <= F.col("__ql_full"), body).otherwise(begun))
     return out.select(*[F.col(quoted(c)) for c in df.columns])
 
 

@@ -40,50 +40,50 @@ def directory(cells: DataFrame, parent_bits: int, bits: int, limit: int) -> Data
 def shards(df: DataFrame, limit: int = SHARD_BYTES, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with shard (depth-prefix, or depth-prefix+page), shard_depth, n_bytes, shard_bytes and oversized."""
     names = ["shard", "shard_depth", "n_bytes", "shard_bytes", "oversized"]
-    rows = replacing(df, names).withColumns({"_key": random_key(F.col(quoted(doc_id)), F.col(quoted(text))), "n_bytes": F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long")})
-    left, done, at = materialise(rows.select("_key", "n_bytes"), "keys"), [], 0
+    rows = replacing(df, names).withColumns({"__ql_key": random_key(F.col(quoted(doc_id)), F.col(quoted(text))), "n_bytes": F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long")})
+    left, done, at = materialise(rows.select("__ql_key", "n_bytes"), "keys"), [], 0
     every = []  # (bits, directory) of each round
     while True:
         bits = min(KEY_BITS, at + ROUND_BITS)
-        cells = left.groupBy(F.shiftright("_key", KEY_BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
+        cells = left.groupBy(F.shiftright("__ql_key", KEY_BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"), F.min("__ql_key").alias("low"), F.max("__ql_key").alias("high"))
         found = materialise(directory(cells, at, bits, limit), f"directory-{bits}")
         every.append((bits, found))
         open_ = found.filter("depth is null")
         if bits == KEY_BITS or not open_.limit(1).count():
             break
-        left = materialise(left.withColumn("cell", F.shiftright("_key", KEY_BITS - bits)).join(open_.select("cell"), "cell", "left_semi").drop("cell"), f"keys-{bits}")
+        left = materialise(left.withColumn("cell", F.shiftright("__ql_key", KEY_BITS - bits)).join(open_.select("cell"), "cell", "left_semi").drop("cell"), f"keys-{bits}")
         at = bits
     for i, (bits, found) in enumerate(every):
-        own = found.withColumnsRenamed({c: f"_{c}" for c in found.columns})
+        own = found.withColumnsRenamed({c: f"__ql_{c}" for c in found.columns})
         # the first directory has 2**15 cells at most; later ones only those of buckets still too large
-        joined = rows.withColumn("_at", F.shiftright("_key", KEY_BITS - bits)).join(F.broadcast(own) if i == 0 else own, F.expr("_at = _cell"), "inner").drop("_at", "_cell")
-        done.append(joined.filter("_depth is not null").drop())
-        rows = joined.filter("_depth is null").select(*rows.columns)
+        joined = rows.withColumn("__ql_at", F.shiftright("__ql_key", KEY_BITS - bits)).join(F.broadcast(own) if i == 0 else own, F.expr("__ql_at = __ql_cell"), "inner").drop("__ql_at", "__ql_cell")
+        done.append(joined.filter("__ql_depth is not null").drop())
+        rows = joined.filter("__ql_depth is null").select(*rows.columns)
     out = reduce(DataFrame.unionByName, done)
     pages = any(f.filter(f"single and shard_n > 1 and shard_bytes > {limit}").limit(1).count() for _, f in every)
-    shard = F.concat_ws("-", F.col("_depth"), F.col("_prefix"))
+    shard = F.concat_ws("-", F.col("__ql_depth"), F.col("__ql_prefix"))
     if not pages:
-        out = out.withColumns({"shard": shard, "shard_bytes": F.col("_shard_bytes")})
+        out = out.withColumns({"shard": shard, "shard_bytes": F.col("__ql_shard_bytes")})
     else:
-        full = f"_single and _shard_n > 1 and _shard_bytes > {limit}"
-        plain = out.filter(f"not ({full})").withColumns({"shard": shard, "shard_bytes": F.col("_shard_bytes")})
+        full = f"__ql_single and __ql_shard_n > 1 and __ql_shard_bytes > {limit}"
+        plain = out.filter(f"not ({full})").withColumns({"shard": shard, "shard_bytes": F.col("__ql_shard_bytes")})
         out = plain.unionByName(paged(materialise(out.filter(full), "overflow"), limit, shard))
-    out = out.withColumns({"shard_depth": F.col("_depth").cast("int"), "oversized": F.col("shard_bytes") > limit})
+    out = out.withColumns({"shard_depth": F.col("__ql_depth").cast("int"), "oversized": F.col("shard_bytes") > limit})
     return out.select(*[F.col(quoted(c)) for c in replacing(df, names).columns], *names)
 
 
 def paged(rows: DataFrame, limit: int, shard) -> DataFrame:
     """Rows of buckets with one hash each, numbered part by part of their table and dealt to pages of as many as fit."""
     per = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1))))
-    rows = rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    rows = rows.withColumns({"__ql_part": F.spark_partition_id(), "__ql_row": F.monotonically_increasing_id()})
     rows = materialise(rows, "overflow-parts")  # the parts are fixed from here on
-    counts = rows.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
-    run = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
-    number = F.col("_before") + F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_row")) - 1
-    rows = rows.join(counts, ["_key", "_part"]).withColumn("_page", F.floor(number / per))
-    size = F.least(per, F.col("_shard_n") - F.col("_page") * per) * F.col("n_bytes")
-    return rows.withColumns({"shard": F.concat(shard, F.lit("+"), F.col("_page")), "shard_bytes": size}).drop("_part", "_row", "_before", "_page")
+    counts = rows.groupBy("__ql_key", "__ql_part").agg(F.count("*").alias("__ql_n"))
+    run = Window.partitionBy("__ql_key").orderBy("__ql_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__ql_before", F.coalesce(F.sum("__ql_n").over(run), F.lit(0))).drop("__ql_n")
+    number = F.col("__ql_before") + F.row_number().over(Window.partitionBy("__ql_key", "__ql_part").orderBy("__ql_row")) - 1
+    rows = rows.join(counts, ["__ql_key", "__ql_part"]).withColumn("__ql_page", F.floor(number / per))
+    size = F.least(per, F.col("__ql_shard_n") - F.col("__ql_page") * per) * F.col("n_bytes")
+    return rows.withColumns({"shard": F.concat(shard, F.lit("+"), F.col("__ql_page")), "shard_bytes": size}).drop("__ql_part", "__ql_row", "__ql_before", "__ql_page")
 
 
 def write_shards(df: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
