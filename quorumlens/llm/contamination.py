@@ -102,6 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     by = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_md5", "n").agg(F.count("own").cast("int").alias("copies"), F.collect_set("item").alias("items"), F.collect_set("hit").alias("hits"))
     by = by.select("doc_id", "text_md5", F.col("n").cast("long").alias("n_words"), union_length(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "copies")
     by = by.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    by = materialise(by, "contamination")  # read twice below
     one, many = by.filter("copies = 1"), by.filter("copies > 1")
     again = repeated(many, "copies")
     return one.drop("copies").unionByName(again)
