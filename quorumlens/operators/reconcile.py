@@ -42,12 +42,16 @@ def tree(leaf: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     level = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "hash"))), lambda x: x["hash"])
     row, names, n = leaf.agg(level.alias(f"l{buckets}")), [f"l{buckets}"], buckets
     while n > 1:
-        below, n = F.col(names[-1]), n // 2
+        n //= 2
+        row = row.withColumn(f"l{n}", _parents(F.col(names[-1]), n))
         names.append(f"l{n}")
-        row = row.withColumn(names[-1], F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i, below=below: F.sha2(F.concat(F.unhex(below[2 * i]), F.unhex(below[2 * i + 1])), 256)))
     return row.select(F.posexplode(F.concat(*reversed(names))).alias("node_index", "hash"))
 
 
+def _parents(level: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sha2(F.concat(F.unhex(level[2 * i]), F.unhex(level[2 * i + 1])), 256))
+
+
 def divergent(a: DataFrame, b: DataFrame) -> DataFrame:
     """Buckets whose leaves differ."""
     return a.join(b.withColumnRenamed("hash", "other"), "bucket").filter("hash <> other").select("bucket")
