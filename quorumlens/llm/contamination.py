@@ -45,11 +45,15 @@ def gram_at(hashes: Column, i: Column, span: int) -> Column:
     return F.shiftleft(packed, PLACE_BITS).bitwiseOR(i.cast("long"))
 
 
+def all_grams(span: int) -> Column:
+    return over(F.col("n"), span, lambda i: gram_at(F.col("w"), i, span))
+
+
 def with_prints(df: DataFrame, short: list[int]) -> DataFrame:
     """df, which has w (word hashes) and n, with prints: the kept hashes, and those of whole short items' lengths."""
-    df = df.withColumn("grams", over(F.col("n"), GRAM, lambda i: gram_at(F.col("w"), i, GRAM)))
+    df = df.withColumn("grams", all_grams(GRAM))
     kept = F.array_distinct(over(F.col("n"), WINDOW, lambda i: F.least(*[F.col("grams")[i + j] for j in range(WINDOW - GRAM + 1)])))
-    return df.withColumn("prints", F.concat(kept, *[over(F.col("n"), s, lambda i, s=s: gram_at(F.col("w"), i, s)) for s in short])).drop("grams")
+    return df.withColumn("prints", F.concat(kept, *[all_grams(s) for s in short])).drop("grams")
 
 
 def item_prints(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, list[int], int]:

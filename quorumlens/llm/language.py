@@ -225,14 +225,14 @@ def predict(texts: Iterator[str | None], names: list[str], weights: np.ndarray,
 
 def sample(docs: DataFrame, doc_id: Column, text: Column, lang: Column) -> tuple[list[str], list[str]]:
     """Texts and labels of a bounded sample of labelled rows, as many of each language, chosen by a hash of the id."""
-    rows = docs.select(doc_id.cast("string").alias("id"), text.alias("text"), lang.cast("string").alias("lang")).filter("text is not null and lang is not null")
+    rows = docs.select(F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), text.alias("text"), lang.cast("string").alias("lang")).filter("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return [], []
     share = F.lit(0)
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, F.lit(int(min(1.0, SAMPLE_PER_LANGUAGE / n) * 1_000_000))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1_000_000)) < share)
+    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < share)
     # several times the expected rows could only come of repeated ids; the bound holds all the same
     found = sorted(tuple(r) for r in chosen.limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).select("lang", "id", "text").collect())
     texts, labels, left = [], [], dict.fromkeys(counts, SAMPLE_CHARS // len(counts))

@@ -29,7 +29,7 @@ from quorumlens.llm.common import materialise, quoted, table
 
 ORDER, SYMBOL_BITS = 4, 6
 SIZE = 1 << ORDER * SYMBOL_BITS
-MASK = (1 << SYMBOL_BITS) - 1
+UNIFORM = 1 / (1 << SYMBOL_BITS)
 SYMBOLS = frozenset("#*$%&|<>")  # fixed value of the contract
 WINDOW = 5
 #: Deviations from a language's median at which a text is rejected, below and above, and the spread of a text of one character.
@@ -111,68 +111,42 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
 
 
-def fit(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1 up: sorted n-gram numbers, their probabilities, and their weights as contexts of the next order."""
+def fit(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 1 up: sorted n-gram numbers and their probabilities, sorted contexts and their back-off weights."""
     order = np.argsort(gram)
     orders = [(gram[order].astype(np.int64), n[order].astype(np.int64))]
     for k in range(ORDER - 1, 0, -1):  # a lower n-gram's count is the number of symbols seen before it
         lower, continuations = np.unique(orders[0][0] & ((1 << k * SYMBOL_BITS) - 1), return_counts=True)
         orders.insert(0, (lower, continuations.astype(np.int64)))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    below = np.full(1, 1.0 / (1 << SYMBOL_BITS))  # order 0: uniform
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for k, (keys, counts) in enumerate(orders, 1):
-        context = keys >> SYMBOL_BITS
-        ids, own = np.unique(context, return_inverse=True)
-        d = discounts(counts)
-        taken = d[np.minimum(counts, 3)]
-        total = np.bincount(own, counts)
-        weight = np.bincount(own, taken) / total
+        contexts, own = np.unique(keys >> SYMBOL_BITS, return_inverse=True)
+        taken = discounts(counts)[np.minimum(counts, 3)]
+        total = np.bincount(own, counts, len(contexts))
+        weight = np.bincount(own, taken, len(contexts)) / np.maximum(total, 1)
         if k == 1:
-            lower = below[np.zeros(len(keys), np.int64)]
+            lower = np.full(len(keys), UNIFORM)
         else:
-            prior_keys, prior, _ = out[-1]
-            lower = prior[np.searchsorted(prior_keys, keys & ((1 << (k - 1) * SYMBOL_BITS) - 1))]
-            weights = np.ones(len(prior_keys))
-            there = np.searchsorted(prior_keys, ids)
-            there[there == len(prior_keys)] = 0
-            fits = prior_keys[there] == ids  # contexts that begin with edges are no n-grams themselves
-            weights[there[fits]] = weight[fits]
-            extra = np.setdiff1d(ids, prior_keys)
-            if len(extra):  # such contexts enter with the probability that backing off gives them
-                keys2, at = np.concatenate([prior_keys, extra]), None
-                at = np.argsort(keys2)
-                prior2 = np.concatenate([prior, np.full(len(extra), 1.0 / (1 << SYMBOL_BITS))])
-                weights = np.concatenate([weights, weight[np.searchsorted(ids, extra)]])
-                out[-1] = keys2[at], prior2[at], weights[at]
-            else:
-                out[-1] = prior_keys, prior, weights
-        p = (counts - taken) / total[own] + weight[own] * lower
-        if k == 1:
-            below = np.array([weight[0] / (1 << SYMBOL_BITS)])
-        out.append((keys, p, np.ones(len(keys))))
-    out.insert(0, (np.zeros(1, np.int64), below, np.ones(1)))
+            lower = out[-1][1][np.searchsorted(out[-1][0], keys & ((1 << (k - 1) * SYMBOL_BITS) - 1))]
+        out.append((keys, (counts - taken) / total[own] + weight[own] * lower, contexts, weight))
     return out
 
 
-def log_probabilities(model: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grams_: np.ndarray) -> np.ndarray:
+def log_probabilities(model: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], grams_: np.ndarray) -> np.ndarray:
     """The model's log probability of each four-gram's last symbol: the longest n-gram known, times the weights of contexts backed off from."""
     out, weight = np.zeros(len(grams_)), np.ones(len(grams_))
     todo = np.arange(len(grams_))
     for k in range(ORDER, 0, -1):
-        keys, p, _ = model[k]
+        keys, p, contexts, weights = model[k - 1]
         want = grams_[todo] & ((1 << k * SYMBOL_BITS) - 1)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        hit = keys[at] == want
-        out[todo[hit]] = np.log(p[at[hit]] * weight[todo[hit]])
-        todo, want = todo[~hit], want[~hit]
-        if not len(todo):
-            return out
-        if k > 1:  # back off: the context's own weight, 1 where it was never seen
-            keys, _, w = model[k - 1]
-            context = want >> SYMBOL_BITS
-            at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-            weight[todo] *= np.where(keys[at] == context, w[at], 1.0)
-    out[todo] = np.log(model[0][1][0] * weight[todo])
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = keys[at] == want
+            out[todo[hit]] = np.log(p[at[hit]] * weight[todo[hit]])
+            todo, want = todo[~hit], want[~hit]
+            at = np.minimum(np.searchsorted(contexts, want >> SYMBOL_BITS), len(contexts) - 1)
+            weight[todo] *= np.where(contexts[at] == want >> SYMBOL_BITS, weights[at], 1.0)
+    out[todo] = np.log(UNIFORM * weight[todo])
     return out
 
 
