@@ -42,7 +42,7 @@ def fingerprint(members: Column, n: Column, vnodes: int = VNODES, scheme: str =
 
 
 def parent(i: Column) -> Column:
-    return F.floor((i - 1) / 2).cast("int")
+    return ((i - 1) / 2).cast("int")
 
 
 def children(i: Column) -> tuple[Column, Column]:
