@@ -33,7 +33,7 @@ UNIFORM = 1 / (1 << SYMBOL_BITS)
 SYMBOLS = frozenset("#*$%&|<>")  # fixed value of the contract
 WINDOW = 5
 #: Deviations from a language's median at which a text is rejected, below and above, and the spread of a text of one character.
-BELOW, ABOVE, SHORT = 5.0, 5.0, 1.0
+BELOW, ABOVE, SHORT = 4.5, 3.5, 1.0
 PUNCTUATION = ".,;:!?'\"()-|#*$%&<>/"
 
 
