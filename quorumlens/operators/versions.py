@@ -25,7 +25,8 @@ def maximal(versions: Column) -> Column:
 
     A clock that covers another has the larger total, so in falling order of totals what is kept is never lost.
     """
-    ordered = F.array_sort(versions, lambda a, b: F.when(a["t"] > b["t"], -1).when(a["t"] < b["t"], 1).otherwise(0))
+    places = F.sort_array(F.transform(versions, lambda x, i: F.struct(x["t"].alias("t"), i.alias("i"))), asc=False)
+    ordered = F.transform(places, lambda p: F.get(versions, p["i"]))
     covered = lambda kept, x: F.exists(kept, lambda y: clocks.covers(y["c"], x["c"]))
     return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda kept, x: F.when(covered(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
 
