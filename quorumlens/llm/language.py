@@ -167,8 +167,14 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> tuple[list[str]
     weights, moves = np.zeros((1 << BITS, k)), np.eye(k)
     if not pieces or k < 2:
         return names, weights.astype(np.float32), moves
-    feats, starts = features(list(index))
-    ends = np.r_[starts[1:], len(feats)]
+    vocabulary, found = list(index), []
+    for at in range(0, len(vocabulary), 20_000):  # in pieces, which bounds what the driver holds
+        own, begin = features(vocabulary[at : at + 20_000])
+        found.append((own.astype(np.int32), np.diff(np.r_[begin, len(own)])))
+    feats, sizes = np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    del vocabulary, found
     x, y = np.array(pieces), np.repeat(np.array(marks)[:, None], SEQUENCE, axis=1)
     seen_w, seen_m = np.full_like(weights, 1e-3), np.full_like(moves, 1e-3)
     for _ in range(EPOCHS):
