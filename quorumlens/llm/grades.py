@@ -1,7 +1,7 @@
 """A quality classifier: cumulative-link (ordinal) regression on graded ratings.
 
 Grades are 0 (toxic), 1 (neither toxic nor good) and 2 (good). A text's features are its distinct
-words and a few coarse shares (marks, capitals, digits, repeated lines), as 64-bit hashes with one
+words, their first letters, and a few coarse shares (marks, capitals, digits, repeated lines), as 64-bit hashes with one
 weight each, shared by all grades; ordered thresholds turn the weighted sum into the probabilities of
 each grade or better. The expected grade and the probability of the tail select documents.
 
@@ -51,7 +51,9 @@ def shares(text: str) -> list[str]:
 
 
 def tokens(text: str) -> set[str]:
-    return set(WORDS.findall(text.lower())).union(shares(text))
+    """Distinct words, the first letters of longer ones (compounds share them), and shares."""
+    words = set(WORDS.findall(text.lower()))
+    return words.union(("\x01" + w[:4] for w in words if len(w) > 5), ("\x01" + w[:5] for w in words if len(w) > 6), shares(text))
 
 
 def logistic(x):
@@ -73,7 +75,8 @@ class Grader:
         return logistic(s[:, None] - self.thresholds[None, :])
 
 
-def train(texts: list[str], grades: list[int], seed: int = 11) -> Grader:
+def train(texts: list[str], grades: list[int], counts: dict[int, int] | None = None, seed: int = 11) -> Grader:
+    """A grader fitted to a sample; counts says how many labelled rows of each grade there are, which the sample stands for."""
     if not texts:
         return Grader({}, np.array([-np.log(2), np.log(2)]))
     bags = [tokens(t) for t in texts]
@@ -88,10 +91,10 @@ def train(texts: list[str], grades: list[int], seed: int = 11) -> Grader:
     rng = np.random.default_rng(seed)
     weights, cuts = np.zeros(len(names)), np.arange(GRADES - 1) - (GRADES - 2) / 2
     seen_w, seen_c = np.full(len(names), 1e-2), np.full(GRADES - 1, 1e-2)
-    # each grade weighs the same in all
-    share = np.bincount(y, minlength=GRADES)
-    cost = (len(y) / GRADES / np.maximum(share, 1))[y]
-    cost = np.sqrt(cost)
+    drawn = np.bincount(y, minlength=GRADES)
+    whole = np.array([(counts or {}).get(k, drawn[k]) for k in range(GRADES)])
+    cost = (whole / np.maximum(drawn, 1))[y]  # the sample has as many of each grade; a text that says little gets their true shares
+    cost /= cost.mean()
     for _ in range(EPOCHS):
         for own in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             lens = np.array([len(rows[i]) for i in own])
@@ -122,8 +125,8 @@ def graded(labels: DataFrame, quality: str = "quality", toxic: str = "toxic") ->
     return labels.withColumn("grade", grade).filter("grade is not null")
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[list[str], list[int]]:
-    """Texts and grades of at most SAMPLE labelled rows, a third of each grade if there are so many, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[list[str], list[int], dict[int, int]]:
+    """Texts, grades and all grades' counts of at most SAMPLE labelled rows, a third of each grade if there are so many, chosen by a hash of the id."""
     known = labels.select(F.col(quoted(doc_id)).alias("id"), "grade").filter("id is not null")
     counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # three grades
     rate = F.lit(0)
@@ -138,7 +141,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[
             texts.append(r["text"])
             grades.append(r["grade"])
             left -= len(r["text"])
-    return texts, grades
+    return texts, grades, counts
 
 
 def select(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: int = KEEP, least: float = LEAST) -> DataFrame:
