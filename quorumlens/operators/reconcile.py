@@ -65,10 +65,13 @@ def exchanged(local: DataFrame, remote: DataFrame, buckets: DataFrame, n: int =
 
 
 def reconciled(local: DataFrame, remote: DataFrame, n: int = BUCKETS, item: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both replicas after a round: each side's versions and what it got, resolved again."""
+    """Both replicas after a round: each side's versions and what it got, resolved again.
+
+    What is exchanged is small beside the replicas and read several times, so it is persisted; lost parts are computed again.
+    """
     told = lambda df: leaves(df.withColumn("item", item if item is not None else F.col("item")), n)
     pull, push = exchanged(local, remote, divergent(told(local), told(remote)), n)
-    return survivors(local.unionByName(pull)), survivors(remote.unionByName(push))
+    return survivors(local.unionByName(pull.persist())), survivors(remote.unionByName(push.persist()))
 
 
 def quorum_read(responses: DataFrame, r: int, keys: tuple[str, ...] = ("key",)) -> DataFrame:
