@@ -167,6 +167,8 @@ def train(others: list[str], seed: int = 5) -> tuple[dict[str, np.ndarray], np.n
         for g in told.intersection(b):
             often[g] = often.get(g, 0) + 1
     names = sorted(g for g in told if seen[g] >= 3 and often.get(g, 0) <= COMMON * len(plain))
+    telling = {g for g in names if " " not in g}
+    names = [g for g in names if telling.intersection(g.split(" "))]  # so a paragraph without a telling word has no feature
     index = {g: i for i, g in enumerate(names)}
     rows = [np.array([index[g] for g in b if g in index], np.int64) for b in bags]
     y, k = np.array(classes), len(FAMILIES) + 1
@@ -206,7 +208,8 @@ def train(others: list[str], seed: int = 5) -> tuple[dict[str, np.ndarray], np.n
     check = np.flatnonzero(held)
     s = scores(check)
     losses = {t: -np.log(np.maximum(softmax(s / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in (0.25, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
-    return {g: weights[i] for g, i in index.items() if np.abs(weights[i]).max() > 1e-3}, offset, min(losses, key=losses.get)
+    kept = {g: weights[i] for g, i in index.items() if g in telling or np.abs(weights[i]).max() > 1e-3}
+    return kept, offset, min(losses, key=losses.get)
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
@@ -236,6 +239,9 @@ def licences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lea
     zero = F.lit([float(v) for v in offset])
     rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.md5(F.col(quoted(text))).alias("text_md5"), F.col(quoted(text)).alias("text"))
     lines = paragraphs(rows).withColumn("w", words(F.col("body")))
+    # a paragraph without a telling word has no feature: it is unknown
+    telling = sorted(g for g in weights if " " not in g) or [""]
+    lines = lines.filter((F.col("line") == -1) | F.arrays_overlap("w", F.lit(telling)))
     seen = lines.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.col("w"), grams(F.col("w"), 2), grams(F.col("w"), 3)))))
     # the vocabulary is bounded by the templates and the sample; a row without an n-gram stands for the document
     hit = seen.join(F.broadcast(model), "gram", "left").filter("weights is not null or (line = -1 and gram = '')")

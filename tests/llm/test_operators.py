@@ -204,14 +204,35 @@ def test_licences(spark):
 
 
 def test_licence_scores_are_the_models(spark):
-    lines = ["Released under the MIT License.", "you may copy this software", "nothing here"]
-    weights, offset, heat = licences.train([])
-    got = {r.doc_id: r for r in licences.licences(docs(spark, lines), least=0.0).collect()}
-    for i, line in enumerate(lines):
-        s = (offset + sum((weights[g] for g in licences.ngrams_of(line) if g in weights), np.zeros(len(offset)))) / heat
-        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
-        if p[:-1].max() >= p[-1] and got[i].probability is not None and not any(len(x) < 2 for x in lines):
-            assert 0 <= got[i].probability <= 1
+    """Families and probabilities against the model applied paragraph by paragraph."""
+    rng = random.Random(15)
+    known = [t for ts in licences.TEMPLATES.values() for t in ts]
+    texts = [prose(rng, 20) + "\n" + " ".join(w for w in rng.choice(known).split() if rng.random() > 0.3) + "\n" + rng.choice(licences.OTHERS) for _ in range(60)]
+    df = docs(spark, texts)
+    weights, offset, heat = licences.train(licences.sampled(df, "text"))
+    got = {r.doc_id: r for r in licences.licences(df).collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        best = []
+        for n, line in enumerate(text.split("\n")):
+            if not any(g in weights for g in licences.ngrams_of(line)):
+                continue  # unknown
+            s = (offset + sum((weights[g] for g in licences.ngrams_of(line) if g in weights), np.zeros(len(offset)))) / heat
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            if p[:-1].max() >= max(p[-1], licences.LEAST):
+                family = licences.FAMILIES[int(p[:-1].argmax())]
+                pairs = {g for g in licences.ngrams_of(line) if g.count(" ") == 1}
+                shapes = [{g for g in licences.ngrams_of(t) if g.count(" ") == 1} for t in licences.TEMPLATES[family]]
+                alike = max(len(pairs & x) / max(1, min(len(pairs), len(x))) for x in shapes)
+                best.append((alike >= licences.CONFIRMED, p[:-1].max(), alike, -n, family))
+        assert got[i].n_licences == sum(x[0] for x in best)
+        if best:
+            some += 1
+            sure, p, alike, _, family = max(best)
+            assert (got[i].family, got[i].confirmed) == (family, sure) and got[i].probability == pytest.approx(p) and got[i].similarity == pytest.approx(alike)
+        else:
+            assert got[i].family == "none"
+    assert some > 30
 
 
 # 6
