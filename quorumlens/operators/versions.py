@@ -65,6 +65,24 @@ def merge_siblings(a: Column, b: Column) -> Column:
     return F.aggregate(b, a, fold)
 
 
+def folded(df: DataFrame, keys: Sequence[str] = ("key",), clock: str = "clock", order: Sequence[str] = ("seq",)) -> DataFrame:
+    """What the fold over all versions of each key leaves, whatever their number.
+
+    Pieces of about PIECE versions are folded on their own, the first of equal clocks only; what the
+    pieces leave has distinct clocks, so survivors tells what the fold over all of them would leave.
+    """
+    keys, columns = list(keys), df.columns
+    one = first_of_equal(df, keys, clock, order)
+    many = one.groupBy(*keys).agg(F.count("*").alias("__n"))
+    dealt = one.join(many, keys).withColumn("__piece", F.pmod(F.xxhash64("__c"), F.ceil(F.col("__n") / PIECE)))
+    version = F.struct(F.map_from_entries("__c").alias("clock"), F.struct(*order).alias("o"), F.struct(*[c for c in columns if c not in keys]).alias("r"))
+    held = dealt.groupBy(*keys, "__piece").agg(F.collect_list(version).alias("v"))
+    places = F.array_sort(F.transform("v", lambda x, i: F.struct(x["o"].alias("o"), i.alias("i"))))
+    ordered = F.transform(places, lambda p: F.get("v", p["i"]))
+    left = held.withColumn("o", ordered).select(*keys, F.explode(merge_siblings(F.slice("o", 1, 0), F.col("o"))).alias("x"))
+    return survivors(left.select(*keys, "x.r.*"), keys, clock, order).select(*columns)
+
+
 def context(df: DataFrame, keys: Sequence[str] = ("key",), clock: str = "clock") -> DataFrame:
     """keys and context: the elementwise maximum over all siblings, tombstones too."""
     each = df.select(*keys, F.explode_outer(clocks.normalised(F.col(clock))).alias("node", "counter")).groupBy(*keys, "node").agg(F.max("counter").alias("counter"))

@@ -30,7 +30,7 @@ def versioned_put(spark, sf):
 
 @query(f"{with_clause('W1')}, f AS (SELECT * FROM W1 WHERE seq % 4 = 0), {maximal('s', 'f')} SELECT key, count(*) AS n, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs FROM s GROUP BY key")
 def sibling_fold(spark, sf):
-    """The fold over arrays, for keys of few versions."""
+    """The fold over arrays, for keys of few versions: a quarter of the log. sibling_fold_whole folds all of it."""
     item = F.struct("seq", "clock")
     held = w1(spark, sf).filter("seq % 4 = 0").groupBy("key").agg(F.collect_list(item).alias("v"))
     ordered = F.array_sort("v", lambda a, b: F.when(a["seq"] < b["seq"], -1).otherwise(1))
@@ -39,6 +39,14 @@ def sibling_fold(spark, sf):
     return held.select("key", F.size(seqs).cast("long").alias("n"), F.array_join(seqs, ",").alias("seqs"))
 
 
+@query(f"{with_clause('W1')}, {maximal('s', 'W1')} SELECT key, count(*) AS n, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs FROM s GROUP BY key")
+def sibling_fold_whole(spark, sf):
+    """The fold over all versions of each key."""
+    left = versions.folded(w1(spark, sf).select("key", "seq", "clock"))
+    seqs = F.array_sort(F.collect_list("seq"))
+    return left.groupBy("key").agg(F.count("*").alias("n"), F.array_join(seqs, ",").alias("seqs"))
+
+
 @query(f"{with_clause('W1')}, {maximal('s', 'W1')} SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC) - 1 AS ord FROM s")
 def siblings_newest_first(spark, sf):
     return bigint(versions.newest_first(versions.survivors(w1(spark, sf))).select("key", "seq", "ord"))

@@ -42,6 +42,14 @@ def test_a_key_of_many_pieces(spark, monkeypatch):
     assert got == fold(rows)
 
 
+def test_the_fold_takes_every_version(spark, monkeypatch):
+    monkeypatch.setattr(versions, "PIECE", 8)
+    rows = random_rows(400, 9, 2) + [("hot", i, "1", {"a": i % 40, "b": (i * 7) % 41, "c": (i * 3) % 23}, False) for i in range(400)]
+    got = {(r.key, r.seq) for r in versions.folded(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(k, s) for k in {r[0] for r in rows} for s in fold([r for r in rows if r[0] == k])}
+    assert any(s % 4 for _, s in got) and versions.folded(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_order_does_not_matter_but_for_ties(spark):
     rows = random_rows(200, 5, 3)
     shuffled = random.Random(4).sample(rows, len(rows))
