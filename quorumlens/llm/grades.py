@@ -43,7 +43,7 @@ def shares(text: str) -> list[str]:
     marks = text.count("|") + text.count("!") + text.count("#") + text.count("*")
     told = {
         "marks": marks / n,
-        "upper": sum(map(str.isupper, text[:: max(1, n // 2000)])) / min(n, 2000 + n % 2000),
+        "upper": sum(map(text.count, filter(str.isupper, set(text)))) / n,
         "digits": sum(map(text.count, "0123456789")) / n,
         "again": 1 - len(set(lines)) / max(1, len(lines)),
     }

@@ -174,6 +174,12 @@ def test_grades_separate(spark):
     assert grades.select(docs(spark, []), labels).count() == 0
 
 
+def test_capitals_are_counted_over_the_whole_text():
+    for text in ("a" * 7999, "ab" * 2000 + "C" * 3999, ("x" * 9 + "Y") * 1000, "Éé" * 5000):
+        share = sum(c.isupper() for c in text) / len(text)
+        assert f"\x00upper{min(9, int(np.ceil(np.sqrt(share) * 10)))}" in grades.shares(text)
+
+
 def test_grades_on_the_documents(spark):
     rows = {r.doc_id: r.kept for r in registry.QUERIES["op4_quality"](spark, "/root/testdata/sf0.1").collect()}
     told = {r.doc_id: (r.quality, r.toxic) for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
