@@ -8,8 +8,9 @@ forward-backward gives each word's language probabilities, and a text's language
 largest mean probability over all its words.
 
 Forward-backward runs over blocks of 32 words at once: each block's transfer matrix first, then a
-scan over the blocks of a text, then the words of all blocks. Training takes a bounded sample of
-labelled rows (SAMPLE_PER_LANGUAGE); prediction takes every word of every text.
+scan over the blocks of a text, then the words of all blocks; with more than WIDE languages, whose
+matrices would be large, the words of all texts are scanned at once. Training takes a bounded sample
+of labelled rows of every language (SAMPLE_PER_LANGUAGE); prediction takes every word of every text.
 
 Defined results: a null text, or one without a letter, is "und" with score 0; without labelled rows
 every text is "und"; rows with a null or repeated id are predicted each; an empty table gives an
@@ -30,25 +31,28 @@ from pyspark.sql import types as T
 from quorumlens.llm.common import quoted, table
 
 UNKNOWN = "und"
-#: Labelled rows per language that training takes, and languages at most: those with the most labelled rows.
-SAMPLE_PER_LANGUAGE, LANGUAGES = 300, 64
-#: Characters that training takes of all rows together.
+#: Labelled rows per language that training takes; every language is learned, beyond MANY of fewer rows and weights each.
+SAMPLE_PER_LANGUAGE, MANY = 300, 64
+#: Characters that training takes of all rows together, and rows and characters that it takes of each language in any case.
 SAMPLE_CHARS = 6_000_000
+LEAST_ROWS, LEAST_CHARS = 20, 20_000
 BITS = 18
 EPOCHS, SEQUENCE, BATCH, RATE, SHRINK = 2, 24, 256, 0.3, 1e-6
 #: Words of a block, and characters of the texts whose words are held at once.
 BLOCK, HELD_CHARS = 32, 4_000_000
+#: Languages up to which blocks have transfer matrices; with more, words are scanned one after another.
+WIDE = 16
 WORDS = re.compile(r"[^\W\d_]+")
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     h = h * M
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words, end to end, and where each word's begin."""
     chars = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -64,10 +68,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         edge = (place[: len(gram)] == 0) | (left[: len(gram)] == n)
         at = np.flatnonzero(inside & (edge | (n <= 3)))
         owner.append(word[at])
-        feats.append(mixed(gram[at] * np.uint64(8) + np.uint64(n)))
+        feats.append(mixed(gram[at] * np.uint64(8) + np.uint64(n), bits))
     powers = np.uint64(0x100000001B3) ** np.minimum(place, 63).astype(np.uint64)
     owner.append(np.arange(len(words)))
-    feats.append(mixed(np.add.reduceat(chars * powers + np.uint64(7), starts) * np.uint64(8)))
+    feats.append(mixed(np.add.reduceat(chars * powers + np.uint64(7), starts) * np.uint64(8), bits))
     owner, feats = np.concatenate(owner), np.concatenate(feats)
     order = np.argsort(owner, kind="stable")
     return feats[order], np.searchsorted(owner[order], np.arange(len(words)))
@@ -75,9 +79,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def emissions(weights: np.ndarray, words: list[str]) -> np.ndarray:
     out = np.empty((len(words), weights.shape[1]))
-    for at in range(0, len(words), 20_000):
-        feats, starts = features(words[at : at + 20_000])
-        out[at : at + 20_000] = np.add.reduceat(weights[feats], starts, axis=0)
+    size = max(100, 20_000 * 4 // max(4, weights.shape[1]))
+    for at in range(0, len(words), size):
+        feats, starts = features(words[at : at + size], len(weights).bit_length() - 1)
+        out[at : at + size] = np.add.reduceat(weights[feats], starts, axis=0)
     return out
 
 
@@ -97,13 +102,37 @@ def marginals(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.nda
     backward[:, -1] = 1 / k
     for t in range(length - 2, -1, -1):
         backward[:, t] = scaled((backward[:, t + 1] * e[:, t + 1]) @ a.T)
-    both = forward[:, :-1, :, None] * a * (e[:, 1:] * backward[:, 1:])[:, :, None, :]
-    return scaled(forward * backward), (both / both.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
+    left, right = forward[:, :-1].reshape(-1, k), (e[:, 1:] * backward[:, 1:]).reshape(-1, k)
+    both = ((left @ a) * right).sum(axis=1, keepdims=True)  # summed over all moves of each place
+    return scaled(forward * backward), a * ((left / both).T @ right)
+
+
+def scanned_probabilities(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """text_probabilities without transfer matrices: a step takes a word of each text, and memory is in proportion to the labels."""
+    n, k = len(lens), scores.shape[1]
+    a = np.exp(moves - moves.max())
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    first = np.r_[0, np.cumsum(lens)[:-1]]
+    order = np.argsort(-lens, kind="stable")
+    many = np.searchsorted(-lens[order], -np.arange(int(lens.max())), side="left")  # texts with more than t words
+    forward, x = np.empty_like(e), np.full((n, k), 1 / k)
+    for t, m in enumerate(many):
+        own = order[:m]
+        x[own] = forward[first[own] + t] = scaled((x[own] @ a) * e[first[own] + t])
+    total, x = np.zeros((n, k)), np.full((n, k), 1 / k)
+    for t, m in enumerate(many):
+        own = order[:m]
+        at = first[own] + lens[own] - 1 - t
+        total[own] += scaled(forward[at] * x[own])
+        x[own] = scaled((x[own] * e[at]) @ a.T)
+    return total
 
 
 def text_probabilities(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Summed label probabilities over the words of each text; scores of all words end to end, lens > 0."""
     k = scores.shape[1]
+    if k > WIDE:
+        return scanned_probabilities(scores, lens, moves)
     a = np.exp(moves - moves.max())
     blocks = -(-lens // BLOCK)
     first = np.r_[0, np.cumsum(blocks)[:-1]]
@@ -154,22 +183,26 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> tuple[list[str]
     """Languages, feature weights and transitions fitted to labelled texts."""
     names = sorted(set(labels))
     k, rng = len(names), np.random.default_rng(seed)
+    number = {name: i for i, name in enumerate(names)}
+    # beyond MANY languages weights are of half the width, then fewer for each, and batches shorter
+    bits = BITS if k <= MANY else max(10, min(BITS, BITS + 7 - (k - 1).bit_length()))
+    batch = BATCH if k <= MANY else max(8, BATCH * MANY // k)
     index: dict[str, int] = {}
     pieces, marks = [], []
     for text, label in zip(texts, labels, strict=True):
         ids = [index.setdefault(w, len(index)) for w in WORDS.findall(text.lower())]
         for at in range(0, len(ids) - SEQUENCE + 1, SEQUENCE):
             pieces.append(ids[at : at + SEQUENCE])
-            marks.append(names.index(label))
+            marks.append(number[label])
         if 0 < len(ids) < SEQUENCE:  # a short text is repeated to the length of a sequence
             pieces.append((ids * SEQUENCE)[:SEQUENCE])
-            marks.append(names.index(label))
-    weights, moves = np.zeros((1 << BITS, k)), np.eye(k)
+            marks.append(number[label])
+    weights, moves = np.zeros((1 << bits, k), np.float64 if k <= MANY else np.float32), np.eye(k)
     if not pieces or k < 2:
         return names, weights.astype(np.float32), moves
     vocabulary, found = list(index), []
     for at in range(0, len(vocabulary), 20_000):  # in pieces, which bounds what the driver holds
-        own, begin = features(vocabulary[at : at + 20_000])
+        own, begin = features(vocabulary[at : at + 20_000], bits)
         found.append((own.astype(np.int32), np.diff(np.r_[begin, len(own)])))
     feats, sizes = np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])
     ends = np.cumsum(sizes)
@@ -182,7 +215,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> tuple[list[str]
         cut = np.where(rng.random(len(x)) < 0.3, rng.integers(4, SEQUENCE - 3, len(x)), SEQUENCE)
         tail = np.arange(SEQUENCE)[None, :] >= cut[:, None]
         words, want = np.where(tail, x[other], x), np.where(tail, y[other], y)
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
+        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
             ids, back = np.unique(words[rows], return_inverse=True)
             sizes = ends[ids] - starts[ids]
             own = np.repeat(np.arange(len(ids)), sizes)
@@ -208,11 +241,11 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> tuple[list[str]
 def predict(texts: Iterator[str | None], names: list[str], weights: np.ndarray, moves: np.ndarray) -> list[tuple[str, float]]:
     texts = list(texts)
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    at = 0
+    at, most = 0, HELD_CHARS if len(names) <= WIDE else max(1, HELD_CHARS * WIDE // len(names))
     while at < len(texts):
         index: dict[str, int] = {}
         ids, lens, places, chars = [], [], [], 0
-        while at < len(texts) and (not chars or chars + len(texts[at] or "") <= HELD_CHARS):
+        while at < len(texts) and (not chars or chars + len(texts[at] or "") <= most):
             words = WORDS.findall((texts[at] or "").lower())
             chars += len(texts[at] or "")
             if any(c.isalpha() for w in words for c in w) and names:
@@ -232,16 +265,20 @@ def predict(texts: Iterator[str | None], names: list[str], weights: np.ndarray,
 def sample(docs: DataFrame, doc_id: Column, text: Column, lang: Column) -> tuple[list[str], list[str]]:
     """Texts and labels of a bounded sample of labelled rows, as many of each language, chosen by a hash of the id."""
     rows = docs.select(F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), text.alias("text"), lang.cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(int(min(1.0, SAMPLE_PER_LANGUAGE / n) * 1_000_000))).otherwise(share)
+    each = SAMPLE_PER_LANGUAGE if len(counts) <= MANY else max(LEAST_ROWS, SAMPLE_PER_LANGUAGE * MANY // len(counts))
+    pairs = [F.lit(v) for name, n in counts.items() for v in (name, max(1, int(min(1.0, each / n) * 1_000_000)))]
+    share = F.create_map(*pairs)[F.col("lang")]
     chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < share)
     # several times the expected rows could only come of repeated ids; the bound holds all the same
-    found = sorted(tuple(r) for r in chosen.limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).select("lang", "id", "text").collect())
-    texts, labels, left = [], [], dict.fromkeys(counts, SAMPLE_CHARS // len(counts))
+    found = sorted(tuple(r) for r in chosen.limit(2 * each * len(counts)).select("lang", "id", "text").collect())
+    missed = sorted(counts.keys() - {r[0] for r in found})
+    if missed:  # only repeated ids leave a language without a row: it gets one
+        one = rows.filter(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by(F.struct("id", "text"), F.xxhash64("id", "text")).alias("r"))
+        found += sorted(tuple(r) for r in one.select("lang", "r.id", "r.text").collect())
+    texts, labels, left = [], [], dict.fromkeys(counts, max(LEAST_CHARS, SAMPLE_CHARS // len(counts)))
     for name, _, body in found:
         if left[name] > 0:
             texts.append(body[: left[name]])
@@ -253,7 +290,7 @@ def sample(docs: DataFrame, doc_id: Column, text: Column, lang: Column) -> tuple
 def languages(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns of keep, lang_pred and score (or what names calls them) of each row, by a field trained on the rows where learn holds."""
     told = sample(docs.filter(learn), F.col(quoted(doc_id)), F.col(quoted(text)), F.col(quoted(lang)))
-    model = docs.sparkSession.sparkContext.broadcast(train(*told))  # 2**18 weights for each language, 64 languages at most
+    model = docs.sparkSession.sparkContext.broadcast(train(*told))  # 2**18 weights for each of up to 128 languages, 2**25 in all up to 2**15 languages
     schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     more = [] if text in keep else [F.col(quoted(text)).alias("_text")]

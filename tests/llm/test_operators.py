@@ -380,6 +380,26 @@ def test_switched_text_is_labelled_word_by_word(spark):
     assert np.mean(got == want) > 0.9 and moves.trace() > moves.sum() - moves.trace()
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    names = [f"l{i:02d}" for i in range(70)]
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for n in names}
+    texts = [" ".join(rng.choice(words[n]) for _ in range(30)) for _ in range(6) for n in names]
+    df = docs(spark, texts + texts[:64], langs=tuple(names) * 6 + tuple(names[:64]))
+    got = language.languages(df, F.col("doc_id") < 350, keep=("doc_id", "lang")).filter("doc_id between 350 and 419").collect()
+    assert len(got) == 70 and {r.lang for r in got if r.lang_pred == r.lang} >= set(names[64:])
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
+def test_scan_is_the_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    lens, moves = np.array([1, 5, 32, 33, 100, 7, 100]), rng.normal(size=(20, 20))
+    scores = rng.normal(size=(lens.sum(), 20)) * 2
+    got = language.text_probabilities(scores, lens, moves)
+    monkeypatch.setattr(language, "WIDE", 20)
+    assert np.allclose(got, language.text_probabilities(scores, lens, moves)) and np.allclose(got.sum(axis=1), lens)
+
+
 def test_forward_backward_over_blocks():
     rng = np.random.default_rng(0)
     lens, moves = np.array([1, 5, 32, 33, 100, 7]), rng.normal(size=(3, 3))
