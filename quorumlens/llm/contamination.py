@@ -1,33 +1,34 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Of every 9 successive 5-word hashes the smallest is kept, so any 13 words that a document and a
-benchmark item share have a kept hash in common. Kept hashes of the documents are joined with those
-of the items; each shared one is extended left and right over equal words, and a run of 13 words or
-more marks its document words as hit. An item of fewer than 13 words is one window, found by the
-hash of all its words. The items are broadcast in blocks of bounded size, as many as they need.
-
-Words are compared by their 64-bit hashes. Defined results: a null or wordless text has no words
-and no hits; an item without words is never found; items with the same item_id count once, a null
-item_id is written as the empty string; repeated document rows give repeated result rows; an empty
-benchmark leaves every document clean; columns named like a result are replaced.
+Each window of 13 words keeps the smallest of its nine 5-word hashes as its fingerprint, so any 13 words
+that a document and a benchmark item share have the fingerprint in common. Documents' fingerprints are
+joined with the items'; each one in common is extended to the 13 words of its window, which count if
+they are a window of an item, and successive windows make longer runs. An item of fewer than 13 words
+is one window, found by the hash of all its words. What is joined has a few numbers for each row: only
+windows in which a fingerprint was found leave the scan, whatever the length of a text.
+
+Words are compared by their 64-bit hashes. Defined results: a null or wordless text has no words and no
+hits; an item without words is never found; items with the same item_id count once, a null item_id is
+written as the empty string; repeated document rows give repeated result rows; a text of any length is
+taken whole; an empty benchmark leaves every document clean; other columns aren't passed on, so their
+names can't clash.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorumlens.llm.common import ascii_lower, materialise, quoted, table
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lowered.
+ANY_CASE_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 5
-#: A kept hash and its place share one long: 33 bits of hash over 30 of place, so the smaller of two longs has the smaller hash.
-PLACE_BITS = 30
-HASH_MASK, PLACE_MASK = (1 << 33) - 1, (1 << PLACE_BITS) - 1
-#: Words of items that one broadcast block may hold (8 bytes each, besides 24 for a kept hash).
-BLOCK_WORDS = 2_000_000
+#: Hashes of items that are broadcast (8 bytes each); a larger benchmark is joined by shuffles.
+FEW_HASHES = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -35,81 +36,110 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def over(count: Column, span: int, f) -> Column:
-    """f of each place at which span elements fit into count."""
-    return F.when(count >= span, F.transform(F.sequence(F.lit(0), count - span), f)).otherwise(F.array().cast("array<bigint>"))
+def n_words(text: Column) -> Column:
+    """The number of a text's words; only the first and the last part between breaks can be empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), ANY_CASE_BREAKS)
+    empty = lambda c: F.when(c == "", 1).otherwise(0)
+    return F.greatest(F.lit(0), F.size(parts) - empty(parts[0]) - empty(F.element_at(parts, -1))).cast("long")
 
 
-def gram_at(hashes: Column, i: Column, span: int) -> Column:
-    packed = F.xxhash64(F.lit(span), *[hashes[i + j] for j in range(span)]).bitwiseAND(F.lit(HASH_MASK))
-    return F.shiftleft(packed, PLACE_BITS).bitwiseOR(i.cast("long"))
+def hashed(df: DataFrame) -> DataFrame:
+    """df with w, the hashes of its text's words, and n, their number, instead of the text."""
+    return df.withColumn("w", word_hashes(F.col("text"))).drop("text").withColumn("n", F.size("w"))
 
 
-def all_grams(span: int) -> Column:
-    return over(F.col("n"), span, lambda i: gram_at(F.col("w"), i, span))
+def at_each_place(span: int, f) -> Column:
+    """f of each place at which span of the n words fit, else null."""
+    return F.when(F.col("n") >= span, F.transform(F.sequence(F.lit(0), F.col("n") - span), f))
 
 
-def with_prints(df: DataFrame, short: list[int]) -> DataFrame:
-    """df, which has w (word hashes) and n, with prints: the kept hashes, and those of whole short items' lengths."""
-    df = df.withColumn("grams", all_grams(GRAM))
-    kept = F.array_distinct(over(F.col("n"), WINDOW, lambda i: F.least(*[F.col("grams")[i + j] for j in range(WINDOW - GRAM + 1)])))
-    return df.withColumn("prints", F.concat(kept, *[all_grams(s) for s in short])).drop("grams")
+def with_grams(df: DataFrame) -> DataFrame:
+    return df.withColumn("grams", at_each_place(GRAM, lambda i: F.xxhash64(*[F.col("w")[i + j] for j in range(GRAM)])))
 
 
-def item_prints(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, list[int], int]:
-    """(h, item, at, iw) of every kept hash of every item; the lengths of short items; the number of blocks."""
-    items = benchmark.select(F.coalesce(F.col(quoted(item)).cast("string"), F.lit("")).alias("item"), word_hashes(F.col(quoted(text))).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
-    items = materialise(items, "items")
-    short = sorted(r["n"] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect())  # 12 at most
-    long_ = with_prints(items, []).filter(F.col("n") >= WINDOW)
-    whole = [items.filter(F.col("n") == s).withColumn("prints", F.array(gram_at(F.col("w"), F.lit(0), s))) for s in short]
-    prints = reduce(DataFrame.unionByName, whole, long_).select("item", F.col("w").alias("iw"), F.explode("prints").alias("p"))
-    prints = prints.select(F.shiftright("p", PLACE_BITS).alias("h"), "item", F.col("p").bitwiseAND(F.lit(PLACE_MASK)).cast("int").alias("at"), "iw")
-    prints = materialise(prints, "item-prints")
-    words = prints.agg(F.sum(F.size("iw") + 3)).first()[0] or 0
-    return prints, short, -(-words // BLOCK_WORDS)
+def fingerprint(span: int, i: Column) -> Column:
+    """Of the window at place i: the smallest of its grams' hashes; of a short item, which is one window, the hash of all its words."""
+    if span < WINDOW:
+        return F.xxhash64(F.lit(span), *[F.col("w")[i + j] for j in range(span)])
+    return F.least(*[F.col("grams")[i + j] for j in range(WINDOW - GRAM + 1)])
 
 
-def extended(d: Column, w: Column, n: Column, at: Column, iw: Column) -> tuple[Column, Column]:
-    """Start and length of the run of equal words around the document's place d and the item's place at."""
-    left, right = F.least(d, at), F.least(n - d, F.size(iw) - at)
-    miss_left = F.when(left > 0, F.filter(F.sequence(F.lit(1), left), lambda o: w[d - o] != iw[at - o]))
-    miss_right = F.filter(F.sequence(F.lit(0), right - 1), lambda o: w[d + o] != iw[at + o])
-    left = F.coalesce(F.get(miss_left, F.lit(0)) - 1, left)
-    right = F.coalesce(F.get(miss_right, F.lit(0)), right)
-    return d - left, left + right
+def prints(span: int) -> Column:
+    return at_each_place(span, lambda i: fingerprint(span, i))
 
 
-def union_length(intervals: Column) -> Column:
-    """Words in the union of (start, end) intervals."""
-    start = F.struct(F.lit(0).cast("int").alias("end"), F.lit(0).cast("long").alias("total"))
-    step = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["total"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"])).cast("long")).alias("total"))
-    return F.aggregate(F.array_sort(intervals), start, step, lambda a: a["total"])
+def whole(span: int, i: Column) -> Column:
+    """The hash of all words of the window at place i; three grams, which overlap by a word, hold thirteen."""
+    return fingerprint(span, i) if span < WINDOW else F.xxhash64(*[F.col("grams")[i + j] for j in range(0, WINDOW - GRAM + 1, GRAM - 1)])
+
+
+def exploded(df: DataFrame, arrays: list[Column], name: str) -> DataFrame:
+    """df with a row instead of its words for each element of the arrays; such rows are small, so a text of n words costs n small rows."""
+    rest = [c for c in df.columns if c not in ("w", "grams")]
+    for i, a in enumerate(arrays):
+        df = df.withColumn(f"array{i}", F.coalesce(a, F.array().cast(df.select(a).schema[0].dataType)))
+    all_ = F.concat(*[F.col(f"array{i}") for i in range(len(arrays))]) if len(arrays) > 1 else F.col("array0")
+    # outer, as else the optimiser would first evaluate the whole array for a filter on its size
+    return df.select(*rest, F.explode_outer(all_).alias(name))
+
+
+def windows(df: DataFrame, spans: list[int]) -> DataFrame:
+    """df (w: word hashes, n: their number, ...) with a row for each window: place, span, fingerprint h, and win, the hash of all its words."""
+    entry = lambda span: at_each_place(span, lambda i: F.struct(i.alias("place"), F.lit(span).alias("span"), fingerprint(span, i).alias("h"), whole(span, i).alias("win")))
+    df = exploded(with_grams(df), [entry(span) for span in spans], "e")
+    return df.select(*[c for c in df.columns if c != "e"], "e.*")
+
+
+def item_windows(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, list[int]]:
+    """(win, h, item) of every window of every item; the spans that there are."""
+    items = benchmark.select(F.coalesce(F.col(quoted(item)).cast("string"), F.lit("")).alias("item"), F.col(quoted(text)).alias("text"))
+    items = materialise(hashed(items).filter("n > 0"), "items")
+    spans = sorted({min(WINDOW, r["n"]) for r in items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()})  # 13 at most
+    if not spans:
+        return items.select(F.lit(0).cast("long").alias("win"), F.lit(0).cast("long").alias("h"), "item").limit(0), spans
+    found = windows(items, spans).filter("span = least(n, 13)")
+    return materialise(found.select("win", "h", "item").distinct(), "item-windows"), spans
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= FEW_HASHES else keys
+
+
+def occurrences(docs: DataFrame, items: DataFrame, spans: list[int], doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_md5, place, span, win) of the windows of docs that are windows of items."""
+    body = F.col(quoted(text))
+    rows = docs.filter(body.isNotNull()).select(F.col(quoted(doc_id)).alias("doc_id"), F.md5(body).alias("text_md5"), body.alias("text"))
+    fingerprints, wins = bounded(materialise(items.select("h").distinct(), "fingerprints")), bounded(materialise(items.select("win").distinct(), "windows"))
+    # first the documents with any fingerprint in common, then the windows of those alone
+    every = exploded(with_grams(hashed(rows)), [prints(span) for span in spans], "h")
+    met = materialise(every.join(fingerprints, "h", "left_semi").select("doc_id", "text_md5").distinct(), "met")
+    if met.count() <= FEW_HASHES:  # else every document's windows are looked at, which costs less than moving the texts
+        rows = rows.alias("a").join(F.broadcast(met).alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_md5 = b.text_md5"), "left_semi")
+    found = windows(hashed(rows), spans).join(fingerprints, "h", "left_semi").join(wins, "win", "left_semi")
+    return found.select("doc_id", "text_md5", "place", "span", "win").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, text_md5, n_words, n_hit, n_items, items_sha256, contaminated."""
-    prints, short, blocks = item_prints(benchmark, item, item_text)
-    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.md5(F.col(quoted(text))).alias("text_md5"), word_hashes(F.col(quoted(text))).alias("w")).withColumn("n", F.size("w"))
-    # a row without a print stands for the document itself
-    seen = with_prints(rows, short).withColumn("p", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("prints")))).drop("prints")
-    seen = seen.withColumns({"h": F.shiftright("p", PLACE_BITS), "d": F.col("p").bitwiseAND(F.lit(PLACE_MASK)).cast("int")}).drop("p")
-    found = []
-    for b in range(max(1, blocks)):
-        block = prints.filter(F.pmod(F.xxhash64("item"), F.lit(max(1, blocks))) == b)
-        own = seen if b == 0 else seen.filter("h is not null")
-        hit = own.join(F.broadcast(block), "h", "left" if b == 0 else "inner").filter("h is null or at is not null")
-        start, length = extended(F.col("d"), F.col("w"), F.col("n"), F.col("at"), F.col("iw"))
-        hit = hit.select("doc_id", "text_md5", "n", "h", "item", F.size("iw").alias("item_n"), F.when(F.col("h").isNotNull(), F.struct(start.alias("start"), length.alias("length"))).alias("run"))
-        hit = hit.filter((F.col("h").isNull()) | (F.col("run.length") >= F.least(F.lit(WINDOW), F.col("item_n"))))
-        found.append(hit.select("doc_id", "text_md5", "n", F.when(F.col("h").isNull(), 1).alias("own"), "item", F.when(F.col("h").isNotNull(), F.struct(F.col("run.start").alias("start"), (F.col("run.start") + F.col("run.length")).alias("end"))).alias("hit")))
-    by = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_md5", "n").agg(F.count("own").cast("int").alias("copies"), F.collect_set("item").alias("items"), F.collect_set("hit").alias("hits"))
-    by = by.select("doc_id", "text_md5", F.col("n").cast("long").alias("n_words"), union_length(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "copies")
-    by = by.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    by = materialise(by, "contamination")  # read twice below
-    one, many = by.filter("copies = 1"), by.filter("copies > 1")
-    again = repeated(many, "copies")
-    return one.drop("copies").unionByName(again)
+    items, spans = item_windows(benchmark, item, item_text)
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.md5(F.col(quoted(text))).alias("text_md5"), n_words(F.col(quoted(text))).alias("n_words"))
+    nothing = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
+    if not spans:
+        return rows.withColumns(nothing).withColumn("contaminated", F.lit(False))
+    met = materialise(occurrences(docs, items, spans, doc_id, text), "occurrences")
+    # words in the union of a document's windows, one after another by place
+    run = Window.partitionBy("doc_id", "text_md5").orderBy("place", "span").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("place") + F.col("span")
+    new = F.greatest(F.lit(0), end - F.greatest(F.col("place"), F.coalesce(F.max(end).over(run), F.lit(0))))
+    hits = met.withColumn("new", new).groupBy("doc_id", "text_md5").agg(F.sum("new").cast("long").alias("n_hit"))
+    # an item's name once for each document
+    named = met.select("doc_id", "text_md5", "win").distinct().join(items.select("win", "item").distinct(), "win").select("doc_id", "text_md5", "item").distinct()
+    names = named.groupBy("doc_id", "text_md5").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    same = "a.doc_id <=> b.doc_id and a.text_md5 = b.text_md5"
+    found = hits.alias("a").join(names.alias("b"), F.expr(same)).select("a.*", "b.n_items", "b.items_sha256")
+    found = materialise(found, "contamination")
+    out = rows.alias("a").join(found.alias("b"), F.expr(same), "left").select("a.*", *[F.coalesce(F.col(f"b.{c}"), zero).alias(c) for c, zero in nothing.items()])
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def repeated(df: DataFrame, copies: str, block: int = 4096) -> DataFrame:

@@ -557,10 +557,20 @@ def test_contamination(spark):
     assert contamination.contamination(docs(spark, []), bench).count() == 0
 
 
-def test_contamination_in_blocks(spark, monkeypatch):
+def test_contamination_by_shuffles(spark, monkeypatch):
     rng = random.Random(14)
     items = [(i, prose(rng, 25, 5000)) for i in range(20)]
     texts = [prose(rng, 20) + " " + items[i % 20][1] for i in range(40)]
-    monkeypatch.setattr(contamination, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(contamination, "FEW_HASHES", 0)
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert [got[i] for i in range(40)] == brute_contamination(texts, items)
+
+
+def test_contamination_of_very_long_texts(spark):
+    """Texts of 20,020 and 200,000 words, one that says one passage throughout, and a passage shared by all."""
+    rng = random.Random(15)
+    items = [(i, prose(rng, 40, 5000)) for i in range(10)]
+    texts = [prose(rng, n, 5000) + " " + items[n % 10][1] for n in (20_020, 200_000)] + [" ".join([items[4][1]] * 400)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination.contamination(docs(spark, texts), bench).collect()}
+    assert [got[i] for i in range(3)] == brute_contamination(texts, items)
