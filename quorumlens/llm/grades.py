@@ -1,17 +1,21 @@
 """A quality classifier: cumulative-link (ordinal) regression on graded ratings.
 
 Grades are 0 (toxic), 1 (neither toxic nor good) and 2 (good). A text's features are its distinct
-words, their first letters, and a few coarse shares (marks, capitals, digits, repeated lines), as 64-bit hashes with one
-weight each, shared by all grades; ordered thresholds turn the weighted sum into the probabilities of
-each grade or better. The expected grade and the probability of the tail select documents.
-
-Training takes a bounded sample of labelled rows (SAMPLE), features that SEEN of them have at least,
-and runs on the driver; scoring takes every word of every text. Weights are sorted hash arrays, at
-most as long as the sample's vocabulary, so a word never seen has no weight and no collisions occur.
-
-Defined results: a null text is scored as empty; several labels of one document are trained on each;
-a label that is null counts as unknown and the row isn't trained on; without labels every text has the
-probabilities of three equal grades; an empty table gives an empty table.
+words, their first letters, and a few coarse shares (marks, capitals, digits, repeated lines), each
+hashed to 64 bits, with one weight each, shared by all grades; ordered thresholds turn the weighted sum
+into the probabilities of each grade or better. The expected grade and the probability of the tail
+select documents.
+
+Training takes a bounded sample of labelled rows (SAMPLE, SAMPLE_CHARS), in an order by hashes, so that
+reruns agree, and features that SEEN of them have at least; it runs on the driver. The model is a sorted
+array of feature hashes and their weights, at most as long as the sample's features; a hash that isn't in
+it has no weight. Scoring takes every word of every text, whole batches of texts at a time.
+
+Defined results: a null text is scored as empty, and a text of any length by all its words; several
+different labels of one document are trained on each, equal rows once; a label that is null counts as
+unknown and the row isn't trained on; of equally likely grades the lowest is given; without labels every
+text has the probabilities of three equal grades; repeated rows are scored each; an empty table gives an
+empty table; other columns aren't passed on, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from quorumlens.llm.common import quoted, table
 
 #: Labelled rows that training takes at most, half of them of grades below the best, and the characters of all their texts.
 SAMPLE, SAMPLE_CHARS = 6000, 16_000_000
 SEEN = 4
+#: Characters of the texts whose features are held at once; a longer text is held alone.
+HELD_CHARS = 2_000_000
 GRADES = 3
 EPOCHS, BATCH, RATE, PENALTY = 12, 64, 0.15, 1e-3
 #: A document is kept if its probability of grade KEEP or better is at least this.
@@ -37,7 +44,7 @@ WORDS = re.compile(r"[^\W_]+")
 
 
 def shares(text: str) -> list[str]:
-    """Coarse shares of a text, each as a word that no text contains."""
+    """Coarse shares of a text, each by a name."""
     n = max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip()]
     marks = text.count("|") + text.count("!") + text.count("#") + text.count("*")
@@ -47,13 +54,30 @@ def shares(text: str) -> list[str]:
         "digits": sum(map(text.count, "0123456789")) / n,
         "again": 1 - len(set(lines)) / max(1, len(lines)),
     }
-    return [f"\x00{k}{min(9, int(np.ceil(np.sqrt(v) * 10)))}" for k, v in told.items()] + [f"\x00length{min(16, n.bit_length())}"]
+    return [f"{k}{min(9, int(np.ceil(np.sqrt(v) * 10)))}" for k, v in told.items()] + [f"length{min(16, n.bit_length())}"]
+
+
+def hashed(kind: int, name: str) -> int:
+    """64 bits for a feature; the kind (0 word, 1 first letters, 2 share) is the seed. 0 stands for no feature."""
+    return xxh64_intdigest(name.encode("utf-8", "replace"), kind) or 1
 
 
-def tokens(text: str) -> set[str]:
-    """Distinct words, the first letters of longer ones (compounds share them), and shares."""
-    words = set(WORDS.findall(text.lower()))
-    return words.union(("\x01" + w[:4] for w in words if len(w) > 5), ("\x01" + w[:5] for w in words if len(w) > 6), shares(text))
+def word_features(word: str) -> tuple[int, int, int]:
+    """A word, and the first letters of longer ones, which compounds share."""
+    return hashed(0, word), hashed(1, word[:4]) if len(word) > 5 else 0, hashed(1, word[:5]) if len(word) > 6 else 0
+
+
+def bags(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct features of all texts, sorted, and the places among them of each text's own, each once."""
+    index: dict[str, int] = {}
+    words = [np.fromiter({index.setdefault(w, len(index)) for w in WORDS.findall(t.lower())}, np.int64) for t in texts]
+    own = np.array([[hashed(2, x) for x in shares(t)] for t in texts], np.uint64).reshape(len(texts), -1)
+    table = np.array([word_features(w) for w in index] + [(0, 0, 0)], np.uint64)
+    every, places = np.unique(np.concatenate([table.ravel(), own.ravel()]), return_inverse=True)
+    table, own = places[: table.size].reshape(table.shape), places[table.size :].reshape(own.shape)
+    none = int(np.searchsorted(every, 0))  # always 0: the last row of the table has it
+    rows = [np.unique(np.concatenate([table[w].ravel(), o])) for w, o in zip(words, own, strict=True)]
+    return every, [r[r != none] for r in rows]
 
 
 def logistic(x):
@@ -61,32 +85,40 @@ def logistic(x):
 
 
 class Grader:
-    """Weights by token and thresholds; probabilities of grade 1 or better, 2 or better."""
-
-    def __init__(self, weights: dict[str, float], thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
-
-    def score(self, text: str) -> float:
-        get = self.weights.get
-        return sum(get(w, 0.0) for w in tokens(text))
+    """Sorted feature hashes with their weights, and thresholds; probabilities of grade 1 or better, 2 or better."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+        self.features, self.weights, self.thresholds = features, weights, thresholds
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        out, at = np.zeros(len(texts)), 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= HELD_CHARS):
+                chars += len(texts[end])
+                end += 1
+            every, rows = bags(texts[at:end])
+            weights = np.zeros(len(every))
+            if len(self.features):
+                places = np.minimum(np.searchsorted(self.features, every), len(self.features) - 1)
+                weights = np.where(self.features[places] == every, self.weights[places], 0.0)
+            lens = np.array([len(r) for r in rows])
+            out[at:end] = np.bincount(np.repeat(np.arange(len(rows)), lens), weights[np.concatenate(rows)], len(rows))
+            at = end
+        return out
 
     def tails(self, texts: list[str]) -> np.ndarray:
-        s = np.fromiter(map(self.score, texts), float, len(texts))
-        return logistic(s[:, None] - self.thresholds[None, :])
+        return logistic(self.scores(texts)[:, None] - self.thresholds[None, :])
 
 
 def train(texts: list[str], grades: list[int], counts: dict[int, int] | None = None, seed: int = 11) -> Grader:
     """A grader fitted to a sample; counts says how many labelled rows of each grade there are, which the sample stands for."""
     if not texts:
-        return Grader({}, np.array([-np.log(2), np.log(2)]))
-    bags = [tokens(t) for t in texts]
-    seen: dict[str, int] = {}
-    for b in bags:
-        for w in b:
-            seen[w] = seen.get(w, 0) + 1
-    names = sorted(w for w, n in seen.items() if n >= SEEN)
-    index = {w: i for i, w in enumerate(names)}
-    rows = [np.fromiter((index[w] for w in b if w in index), np.int64) for b in bags]
+        return Grader(np.zeros(0, np.uint64), np.zeros(0), np.array([-np.log(2), np.log(2)]))
+    every, rows = bags(texts)
+    often = np.bincount(np.concatenate(rows), minlength=len(every)) >= SEEN
+    names, place = every[often], np.cumsum(often) - 1
+    rows = [place[r[often[r]]] for r in rows]
     y = np.array(grades)
     rng = np.random.default_rng(seed)
     weights, cuts = np.zeros(len(names)), np.arange(GRADES - 1) - (GRADES - 2) / 2
@@ -116,7 +148,7 @@ def train(texts: list[str], grades: list[int], counts: dict[int, int] | None = N
                 seen_c[k] += g**2
                 cuts[k] -= RATE * g / np.sqrt(seen_c[k])
             cuts = np.maximum.accumulate(cuts + np.arange(GRADES - 1) * 1e-6)  # thresholds stay in order
-    return Grader({w: float(v) for w, v in zip(names, weights, strict=True) if v}, cuts)
+    return Grader(names[weights != 0], weights[weights != 0], cuts)
 
 
 def graded(labels: DataFrame, quality: str = "quality", toxic: str = "toxic") -> DataFrame:
@@ -126,27 +158,34 @@ def graded(labels: DataFrame, quality: str = "quality", toxic: str = "toxic") ->
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[list[str], list[int], dict[int, int]]:
-    """Texts, grades and all grades' counts of at most SAMPLE labelled rows, a third of each grade if there are so many, chosen by a hash of the id."""
+    """Texts, grades and all grades' counts of at most SAMPLE labelled rows, a third of each grade if there are so many, chosen and ordered by hashes of ids."""
     known = labels.select(F.col(quoted(doc_id)).alias("id"), "grade").filter("id is not null")
     counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # three grades
     rate = F.lit(0)
     for g, n in counts.items():
         rate = F.when(F.col("grade") == g, F.lit(int(min(1.0, SAMPLE / GRADES / n) * 1_000_000))).otherwise(rate)
-    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000)) < rate).limit(SAMPLE)
-    found = docs.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text")).filter("text is not null").join(F.broadcast(chosen), "id").limit(SAMPLE)
-    rows = sorted(found.select("id", "grade", "text").collect(), key=lambda r: (str(r["id"]), r["grade"], r["text"]))
-    texts, grades, left = [], [], SAMPLE_CHARS
-    for r in rows:
-        if len(r["text"]) <= left:
-            texts.append(r["text"])
-            grades.append(r["grade"])
-            left -= len(r["text"])
-    return texts, grades, counts
+    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000)) < rate).distinct()
+    chosen = chosen.orderBy(F.xxhash64("id", F.lit(23)), "id", "grade").limit(SAMPLE)
+    bodies = docs.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text")).filter("text is not null").withColumn("body", F.xxhash64("text"))
+    # lengths first, so that no more than SAMPLE_CHARS characters reach the driver
+    sizes = bodies.select("id", "body", F.length("text").alias("chars")).join(F.broadcast(chosen), "id").distinct()
+    picked, left = [], SAMPLE_CHARS
+    for r in sizes.orderBy(F.xxhash64("id", F.lit(23)), "id", "body", "grade").limit(SAMPLE).collect():
+        if r["chars"] <= left:
+            picked.append((r["id"], r["body"], r["grade"]))
+            left -= r["chars"]
+    if not picked:
+        return [], [], counts
+    kind = dict(chosen.dtypes)["id"]
+    wanted = docs.sparkSession.createDataFrame(picked, f"id {kind}, body long, grade int")
+    rows = bodies.join(F.broadcast(wanted), ["id", "body"]).dropDuplicates(["id", "body", "grade"]).select("id", "body", "grade", "text").collect()
+    rows.sort(key=lambda r: (str(r["id"]), r["grade"], r["body"]))
+    return [r["text"] for r in rows], [r["grade"] for r in rows], counts
 
 
 def select(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: int = KEEP, least: float = LEAST) -> DataFrame:
     """doc_id, expected_grade, p_tail (of grade keep or better), grade (the likeliest) and kept of each row of docs."""
-    grader = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, graded(labels), doc_id, text)))  # at most the sample's vocabulary
+    grader = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, graded(labels), doc_id, text)))  # at most the sample's features, 16 bytes each
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("expected_grade", T.DoubleType()), T.StructField("p_tail", T.DoubleType()), T.StructField("grade", T.LongType()), T.StructField("kept", T.BooleanType())])
 
     def run(batches):
