@@ -6,12 +6,15 @@ driver from the templates below, cut, shortened and set among ordinary words, an
 sample of the corpus's own paragraphs, with an L1 penalty that leaves only telling n-grams. A
 temperature fitted on held-out examples calibrates the probabilities; a paragraph whose best family
 stays under LEAST is unknown. A prediction counts as confirmed if the paragraph shares enough word
-pairs with a template of its family. Scoring is DataFrame functions throughout: n-grams are exploded,
-joined with the weights (a bounded table) and summed by paragraph.
+pairs with a template of its family. Scoring is DataFrame functions throughout: 64-bit hashes of all
+n-grams are exploded, joined with the weights (a bounded table) and summed by paragraph; texts are
+read again only for the paragraphs predicted.
 
 Defined results: a null or blank text has no paragraphs and the family "none"; a document with several
-licences gets the most probable confirmed one, then the most probable one; of equal ones the first by
-name; equal rows (id and text) get equal rows; an empty table gives an empty table.
+licences names all of them in found, and as its own the most probable confirmed one, then the most
+probable one; of equal ones the first by name, then by line; a paragraph without a known n-gram has the
+model's offsets as scores; paragraphs of any length are taken whole; repeated rows get a row each; an
+empty table gives an empty table; other columns aren't passed on, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlens.llm.common import ascii_lower, materialise, quoted, table
-from quorumlens.llm.contamination import repeated
 
 # Notices by which works commonly name their licence, by family.
 TEMPLATES = {
@@ -99,11 +101,13 @@ OTHERS = [
 ]
 UNKNOWN, NONE = "unknown", "none"
 FAMILIES = sorted(TEMPLATES)
-#: Paragraphs of the corpus that training takes as examples of no licence, and rows they are drawn from.
-SAMPLE_PARAGRAPHS, SAMPLE_ROWS = 3000, 400
+#: Paragraphs of the corpus that training takes as examples of no licence, their characters, and rows they are drawn from.
+SAMPLE_PARAGRAPHS, SAMPLE_CHARS, SAMPLE_ROWS = 3000, 2_000_000, 400
 COPIES, EPOCHS, RATE, PENALTY = 60, 30, 0.3, 2e-4
-#: An n-gram in more than this share of the sampled paragraphs tells nothing and is no feature.
-COMMON = 0.002
+#: Examples that an n-gram must be in to be a feature.
+SEEN = 3
+#: Predicted paragraphs up to which they are broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
+FEW = 300_000
 #: The probability that a family needs, and the share of common word pairs that confirms it.
 LEAST, CONFIRMED = 0.5, 0.6
 BREAKS = r"[^a-z0-9]+"
@@ -160,15 +164,7 @@ def train(others: list[str], seed: int = 5) -> tuple[dict[str, np.ndarray], np.n
     for b in bags:
         for g in b:
             seen[g] = seen.get(g, 0) + 1
-    told = {g for ts in [*TEMPLATES.values(), OTHERS] for t in ts for g in ngrams_of(t)}
-    plain = [b for b, t, c in zip(bags, texts, classes, strict=True) if c == len(FAMILIES) and t not in OTHERS]
-    often: dict[str, int] = {}
-    for b in plain:
-        for g in told.intersection(b):
-            often[g] = often.get(g, 0) + 1
-    names = sorted(g for g in told if seen[g] >= 3 and often.get(g, 0) <= COMMON * len(plain))
-    telling = {g for g in names if " " not in g}
-    names = [g for g in names if telling.intersection(g.split(" "))]  # so a paragraph without a telling word has no feature
+    names = sorted(g for g, n in seen.items() if n >= SEEN)
     index = {g: i for i, g in enumerate(names)}
     rows = [np.array([index[g] for g in b if g in index], np.int64) for b in bags]
     y, k = np.array(classes), len(FAMILIES) + 1
@@ -208,70 +204,95 @@ def train(others: list[str], seed: int = 5) -> tuple[dict[str, np.ndarray], np.n
     check = np.flatnonzero(held)
     s = scores(check)
     losses = {t: -np.log(np.maximum(softmax(s / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in (0.25, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
-    kept = {g: weights[i] for g, i in index.items() if g in telling or np.abs(weights[i]).max() > 1e-3}
+    kept = {g: weights[i] for g, i in index.items() if weights[i].any()}
     return kept, offset, min(losses, key=losses.get)
 
 
-def paragraphs(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text_md5, text) with a row for each paragraph, and one of number -1 for the document itself."""
-    lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("body")))
-    lines = F.filter(lines, lambda x: F.trim(F.regexp_replace(x["body"], r"[\x09-\x0D]", " ")) != "")
-    own = F.array(F.struct(F.lit(-1).alias("line"), F.lit("").alias("body")))
-    out = rows.select("doc_id", "text_md5", F.size(lines).cast("long").alias("n_paragraphs"), F.explode(F.concat(own, lines)).alias("p"))
-    return out.select("doc_id", "text_md5", "n_paragraphs", "p.line", "p.body")
-
-
 def sampled(docs: DataFrame, text: str) -> list[str]:
-    """At most SAMPLE_PARAGRAPHS paragraphs of some SAMPLE_ROWS rows chosen by a hash of their texts."""
+    """At most SAMPLE_PARAGRAPHS paragraphs of some SAMPLE_ROWS rows, chosen and ordered by hashes of their texts."""
     n = docs.count()
     body = docs.select(F.col(quoted(text)).alias("text")).filter("text is not null")
     some = body.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, SAMPLE_ROWS / max(n, 1)) * 1_000_000))
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> '' and length(line) < 2000").distinct()
-    return sorted(r[0] for r in lines.limit(SAMPLE_PARAGRAPHS).collect())
+    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''").withColumn("h", F.xxhash64("line"))
+    picked, left = [], SAMPLE_CHARS  # lengths first, so that no more than SAMPLE_CHARS characters reach the driver
+    for r in lines.select("h", F.length("line").alias("chars")).distinct().orderBy("h").limit(SAMPLE_PARAGRAPHS).collect():
+        if r["chars"] <= left:
+            picked.append((r["h"],))
+            left -= r["chars"]
+    if not picked:
+        return []
+    wanted = docs.sparkSession.createDataFrame(picked, "h long")
+    return sorted(r[0] for r in lines.join(F.broadcast(wanted), "h", "left_semi").dropDuplicates(["h"]).select("line").collect())
 
 
-def licences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, confirmed: float = CONFIRMED) -> DataFrame:
-    """For each row of docs: doc_id, n_paragraphs, n_licences (confirmed paragraphs), family, probability, similarity, confirmed, line."""
+def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_hash, line, body) of each line that isn't blank."""
+    body = F.col(quoted(text))
+    rows = docs.filter(body.isNotNull()).select(F.col(quoted(doc_id)).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
+    # outer, as else the optimiser would split every text twice, first for a filter on the number of lines
+    return rows.select("doc_id", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("line", "body")).filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def families(docs: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray, float], *, doc_id: str, text: str, least: float) -> DataFrame:
+    """(doc_id, text_hash, line, family, probability) of the paragraphs that have a family."""
     spark = docs.sparkSession
-    weights, offset, heat = train(sampled(docs, text))
+    weights, offset, heat = model
     k = len(offset)
-    model = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in sorted(weights.items())], "gram string, weights array<double>")
-    zero = F.lit([float(v) for v in offset])
-    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.md5(F.col(quoted(text))).alias("text_md5"), F.col(quoted(text)).alias("text"))
-    lines = paragraphs(rows).withColumn("w", words(F.col("body")))
-    # a paragraph without a telling word has no feature: it is unknown
-    telling = sorted(g for g in weights if " " not in g) or [""]
-    lines = lines.filter((F.col("line") == -1) | F.arrays_overlap("w", F.lit(telling)))
-    seen = lines.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.col("w"), grams(F.col("w"), 2), grams(F.col("w"), 3)))))
-    # the vocabulary is bounded by the templates and the sample; a row without an n-gram stands for the document
-    hit = seen.join(F.broadcast(model), "gram", "left").filter("weights is not null or (line = -1 and gram = '')")
-    hit = hit.select("doc_id", "text_md5", "n_paragraphs", "line", F.when(F.col("line") >= 0, F.col("body")).alias("body"), "gram", "weights")
-    # rows of docs that are equal count once: a paragraph's n-gram is one row, and the document's own says how many there are
-    hit = hit.groupBy("doc_id", "text_md5", "n_paragraphs", "line", "body", "gram").agg(F.count("*").alias("own"), F.first("weights").alias("weights"))
-    sums = [F.sum(F.col("weights")[i]).alias(f"s{i}") for i in range(k)]
-    by = hit.groupBy("doc_id", "text_md5", "n_paragraphs", "line", "body").agg(F.max("own").alias("own"), *sums)
-    scores = [(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + zero[i]) / F.lit(float(heat)) for i in range(k)]
-    top = F.greatest(*scores)
-    by = by.withColumn("e", F.array(*[F.exp(s - top) for s in scores]))
-    by = by.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    bare = np.exp((offset - offset.max()) / heat)
+    named = bool(bare[:-1].max() >= bare[-1] and bare[:-1].max() >= least * bare.sum())  # what a paragraph without a known n-gram would get
+    strings = spark.createDataFrame([(g.split(" "), [float(v) for v in w]) for g, w in sorted(weights.items())] or [(["\0"], [0.0] * k)], "words array<string>, weights array<double>")
+    w = F.transform("words", lambda x: F.xxhash64(x))
+    known = strings.withColumn("w", w).select(F.when(F.size("w") == 1, F.col("w")[0]).when(F.size("w") == 2, F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1)))).otherwise(F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.get("w", F.lit(2)))).alias("gram"), "weights")
+    nothing = spark.createDataFrame([(0, [0.0] * k)], known.schema) if named else known.limit(0)
+    known = materialise(known.unionByName(nothing), "weights")  # bounded by the sample
+    lines = paragraphs(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart, within this one job
+    lines = lines.select("row", "doc_id", "text_hash", "line", F.transform(words(F.col("body")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w"))
+
+    def runs(span: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.col("n") - span), lambda i: F.xxhash64(*[F.col("w")[i + j] for j in range(span)]))
+        return F.when(F.col("n") >= span, each).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.array_distinct(F.concat(F.col("w"), runs(2), runs(3), *([F.array(F.lit(0).cast("long"))] if named else [])))
+    hit = lines.select("row", "doc_id", "text_hash", "line", F.explode_outer(every).alias("gram")).join(F.broadcast(known), "gram")
+    by = hit.groupBy("row", "doc_id", "text_hash", "line").agg(*[F.sum(F.col("weights")[i]).alias(f"s{i}") for i in range(k)])
+    scores = [(F.col(f"s{i}") + F.lit(float(offset[i]))) / F.lit(float(heat)) for i in range(k)]
+    by = by.withColumn("top", F.greatest(*scores)).withColumn("e", F.array(*[F.exp(s - F.col("top")) for s in scores]))
     best = F.array_max(F.slice("e", 1, k - 1))
-    by = by.withColumns({"probability": best / F.col("total"), "family": F.element_at(F.lit(FAMILIES), F.array_position("e", best).cast("int")), "sure": best >= F.element_at("e", k)})
+    by = by.withColumn("best", best).withColumn("probability", F.col("best") / F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    by = by.filter((F.col("best") >= F.element_at("e", k)) & (F.col("probability") >= least))
+    by = by.withColumn("family", F.element_at(F.lit(FAMILIES), F.array_position("e", F.col("best")).cast("int")))
+    return by.select("doc_id", "text_hash", "line", "family", "probability").dropDuplicates(["doc_id", "text_hash", "line"])
+
+
+def licence_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, confirmed: float = CONFIRMED) -> DataFrame:
+    """Every paragraph with a family: doc_id, text_hash, line, family, probability, similarity, confirmed; repeated rows count once."""
+    found = materialise(families(docs, train(sampled(docs, text)), doc_id=doc_id, text=text, least=least), "families")
+    few = found.count() <= FEW
+    spark = docs.sparkSession
     shapes = spark.createDataFrame([(f, [g for g in ngrams_of(t) if g.count(" ") == 1]) for f in FAMILIES for t in TEMPLATES[f]], "family string, pairs array<string>")
     shapes = shapes.groupBy("family").agg(F.collect_list("pairs").alias("shapes"))  # the templates above, no more
-    found = by.filter("line >= 0").filter(F.col("sure") & (F.col("probability") >= least)).join(F.broadcast(shapes), "family")
-    pairs = F.array_distinct(grams(words(F.col("body")), 2))
-    found = found.withColumn("pairs", pairs)
+    same = F.expr("a.doc_id <=> b.doc_id and a.text_hash = b.text_hash and a.line = b.line")
+    bodies = paragraphs(docs, doc_id, text).alias("a").join((F.broadcast(found) if few else found).alias("b"), same).select("b.*", "a.body")
+    bodies = bodies.withColumn("w", words(F.col("body"))).withColumn("pairs", F.array_distinct(grams(F.col("w"), 2))).join(F.broadcast(shapes), "family")
     alike = F.array_max(F.transform("shapes", lambda s: F.size(F.array_intersect("pairs", s)) / F.greatest(F.lit(1), F.least(F.size("pairs"), F.size(s)))))
-    found = found.withColumn("similarity", F.coalesce(alike, F.lit(0.0))).withColumn("confirmed", F.col("similarity") >= confirmed)
+    out = bodies.withColumn("similarity", F.coalesce(alike, F.lit(0.0))).withColumn("confirmed", F.col("similarity") >= confirmed)
+    return out.select("doc_id", "text_hash", "line", "family", "probability", "similarity", "confirmed").dropDuplicates(["doc_id", "text_hash", "line"])
+
+
+def licences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, confirmed: float = CONFIRMED) -> DataFrame:
+    """For each row of docs: doc_id, n_paragraphs, n_licences (confirmed paragraphs), family, probability, similarity, confirmed, line of the best, and found, all of them by line."""
+    each = licence_paragraphs(docs, doc_id=doc_id, text=text, least=least, confirmed=confirmed)
+    told = F.struct("line", "family", "probability", "similarity", "confirmed")
     order = F.struct(F.col("confirmed"), F.col("probability"), F.col("similarity"), (-F.col("line")).alias("place"))
-    each = found.groupBy("doc_id", "text_md5", "n_paragraphs").agg(F.count_if("confirmed").cast("long").alias("n_licences"), F.max_by(F.struct("family", "probability", "similarity", "confirmed", "line"), order).alias("b"))
-    each = each.withColumn("own", F.lit(0).cast("long"))
-    owners = by.filter("line = -1").select("doc_id", "text_md5", "n_paragraphs", "own", F.lit(0).cast("long").alias("n_licences"), F.lit(None).cast(each.schema["b"].dataType).alias("b"))
-    both = owners.unionByName(each).groupBy("doc_id", "text_md5", "n_paragraphs").agg(F.sum("own").alias("copies"), F.max("n_licences").alias("n_licences"), F.max("b").alias("b"))
-    out = both.select("doc_id", "text_md5", "n_paragraphs", "n_licences", F.coalesce("b.family", F.lit(NONE)).alias("family"), "b.probability", "b.similarity", F.coalesce("b.confirmed", F.lit(False)).alias("confirmed"), "b.line", "copies")
-    out = materialise(out, "licences")
-    return out.filter("copies = 1").drop("copies").unionByName(repeated(out.filter("copies > 1"), "copies"))
+    by = each.groupBy("doc_id", "text_hash").agg(F.count_if("confirmed").cast("long").alias("n_licences"), F.max_by(told, order).alias("b"), F.array_sort(F.collect_list(told)).alias("found"))
+    by = materialise(by, "licences")
+    body = F.col(quoted(text))
+    n = F.size(F.filter(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.xxhash64(body).alias("text_hash"), n.alias("n_paragraphs"))
+    both = rows.alias("a").join(by.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_hash = b.text_hash"), "left")
+    none = by.schema["found"].dataType
+    return both.select("a.doc_id", "a.n_paragraphs", F.coalesce("b.n_licences", F.lit(0).cast("long")).alias("n_licences"), F.coalesce("b.b.family", F.lit(NONE)).alias("family"), "b.b.probability", "b.b.similarity", F.coalesce("b.b.confirmed", F.lit(False)).alias("confirmed"), "b.b.line", F.coalesce("b.found", F.array().cast(none)).alias("found"))
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences(table(spark, sf_dir, "documents")).drop("text_md5")
+    return licences(table(spark, sf_dir, "documents"))
