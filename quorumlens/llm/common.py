@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run on one machine."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own:
         folder = tempfile.TemporaryDirectory(prefix="corpus-")
         atexit.register(folder.cleanup)
@@ -43,7 +46,7 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)  # false where nothing was written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
