@@ -1,16 +1,18 @@
 """SimHash near-duplicates, their fingerprints matched by Golay-code fuzzy hashing.
 
 A fingerprint of 64 bits is cut into segments of 22, 21 and 21 bits. If two fingerprints differ in
-three bits at most, then without the segment that differs most the other two differ in one bit each
-at most. A segment, as a 23-bit word, decodes to one codeword of the binary Golay code. A word three
-bits from its codeword also lies four bits from five others; of two words one bit apart, each decodes
-to one of the other's codewords, these six or the single one. So a fingerprint is entered under its
-own codeword indices for each pair of segments, looked up under every combination of its codewords,
-and the few pairs found that way are verified. Equal fingerprints are one entry throughout.
+three bits at most, either one segment is equal and another differs in one bit at most, or each of the
+three differs in one bit. A segment, as a 23-bit word, decodes to one codeword of the binary Golay code.
+A word three bits from its codeword also lies four bits from five others; of two words one bit apart,
+each decodes to one of the other's codewords, these six or the single one. So a fingerprint is entered
+under each ordered pair of a segment's bits and another's codeword index, and under its three codeword
+indices; it is looked up with every codeword near those segments, and the few pairs found are verified.
+Keys have 33 bits or more. Equal fingerprints are one entry throughout.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; rows with
 the same doc_id are rows of the result each; component_id ignores null ids and is null if a component
-has no other; an empty table gives an empty table.
+has no other; a text of any length is taken whole; other columns aren't passed on, so their names can't
+clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from quorumlens.llm.components import components
 
 SEED, BITS, SHINGLE, MOST = 42, 64, 3, 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Kinds of keys: (segment that is equal, segment that differs in one bit at most); one more, ALL, has all three differ in one bit at most.
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+ALL, KIND_BIT = len(PAIRS), 36
 GOLAY = 0xAE3  # fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code
 
 BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -105,21 +109,20 @@ def golay() -> Golay:
 
 
 def keys(fps: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places in fps and keys: a key is a pair of segments and a codeword index of each."""
+    """Places in fps and keys: a kind, and below it a segment's bits and a codeword index, or three codeword indices."""
     bits = fps.view(np.uint64)
-    decoded = [golay().decode((bits >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)) for low, width in SEGMENTS]
+    parts = [(bits >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
+    decoded = [golay().decode(p) for p in parts]
+    codes = [near if probe else own[:, None] for own, near in decoded]  # -1: none
     at, out = [], []
-    for p, (a, b) in enumerate(PAIRS):
-        if not probe:
-            at.append(np.arange(len(fps)))
-            out.append(p << 24 | decoded[a][0] << 12 | decoded[b][0])
-            continue
-        first, second = decoded[a][1], decoded[b][1]
-        for i in range(6):
-            for j in range(6):
-                there = np.flatnonzero((first[:, i] >= 0) & (second[:, j] >= 0))
-                at.append(there)
-                out.append(p << 24 | first[there, i] << 12 | second[there, j])
+    for kind, (a, b) in enumerate(PAIRS):
+        there = codes[b] >= 0
+        at.append(np.nonzero(there)[0])
+        out.append((kind << KIND_BIT | parts[a][:, None] << 12 | codes[b])[there])
+    x, y, z = codes[0][:, :, None, None], codes[1][:, None, :, None], codes[2][:, None, None, :]
+    there = (x >= 0) & (y >= 0) & (z >= 0)
+    at.append(np.nonzero(there)[0])
+    out.append((ALL << KIND_BIT | x << 24 | y << 12 | z)[there])
     return np.concatenate(at), np.concatenate(out)
 
 
@@ -129,12 +132,12 @@ def keyed(nodes: DataFrame, probe: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for begin in range(0, len(fps), 4096):
-                block = np.ascontiguousarray(fps[begin : begin + 4096])
+            for begin in range(0, len(fps), 1024):
+                block = np.ascontiguousarray(fps[begin : begin + 1024])
                 at, out = keys(block, probe)
-                yield pa.RecordBatch.from_arrays([pa.array(out.astype(np.int32)), pa.array(block[at])], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(block[at])], names=["key", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "key int, fp long")
+    return nodes.select("fp").mapInArrow(run, "key long, fp long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -142,9 +145,9 @@ def links(nodes: DataFrame) -> DataFrame:
     own, looked = keyed(nodes, False).withColumnRenamed("fp", "a"), keyed(nodes, True).withColumnRenamed("fp", "b")
     differ = "(a ^ b)"
     off = [f"bit_count(shiftrightunsigned({differ}, {low}) & {(1 << width) - 1}L)" for low, width in SEGMENTS]
-    # a pair met under several keys counts under the first pair of segments that it fits
-    once = f"case when {off[0]} <= 1 and {off[1]} <= 1 then 0 when {off[0]} <= 1 and {off[2]} <= 1 then 1 else 2 end"
-    return own.join(looked, "key").filter(f"a < b and bit_count({differ}) <= {MOST} and key >> 24 = {once}").select("a", "b")
+    # a pair met under several keys counts under the first kind that it fits
+    once = " ".join(f"when {off[a]} = 0 and {off[b]} <= 1 then {kind}L" for kind, (a, b) in enumerate(PAIRS))
+    return own.join(looked, "key").filter(f"a < b and bit_count({differ}) <= {MOST} and shiftright(key, {KIND_BIT}) = case {once} else {ALL}L end").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
