@@ -4,7 +4,8 @@ The distinct pre-tokens of a batch lie end to end in one ragged array of symbol
 every sequence finds the lowest rank among its neighbouring pairs and merges all its pairs of that
 rank at once, left to right; sequences without a known pair leave the array, and the symbols left
 are their tokens. Merging one rank at a time in each sequence is what BPE does, since a merge can
-only make pairs of higher ranks.
+only make pairs of higher ranks. A very long sequence goes through the same rounds alone, over lists of
+its pairs' places by rank, so a round costs as much as it merges.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); ids are passed on as they are,
 null or repeated; an empty table gives an empty table; columns named like a result are replaced.
@@ -34,7 +35,7 @@ LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02c1"
 PLAIN_PRETOKEN = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r {LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 NOT_PLAIN = "[^\x00-\x7f\u00c0-\u02c1\u2010-\u2027]"
 NONE = np.int64(2**31 - 1)
-#: Pre-tokens longer than this are merged by a heap, as rounds over one long sequence would grow with its square.
+#: Pre-tokens longer than this have their pairs sorted by rank, as rounds over the whole of one long sequence would cost its square.
 LONG = 4096
 #: Characters of text whose pre-tokens are held at once, and counts remembered between batches.
 HELD_CHARS, REMEMBERED = 2_000_000, 400_000
@@ -91,6 +92,7 @@ class RankMerger:
         vocab, merges = told["model"]["vocab"], told["model"]["merges"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
+        self.left, self.right = left, right
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.pairs = PairTable(left, right)
         self.first = np.zeros(256, np.int64)
@@ -152,29 +154,50 @@ class RankMerger:
         return out
 
     def count_long(self, word: bytes) -> int:
-        """One very long sequence: a heap of (rank, place), the same order of merges."""
-        ids = self.first[np.frombuffer(word, np.uint8)].tolist()
-        after, before, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), len(ids)
-        ranks = self.pairs.find(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r < NONE]
-        heapq.heapify(heap)
-        seen: dict[tuple[int, int], int] = {}
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else len(ids)
-            if j >= len(ids) or ids[j] != b:
+        """One very long sequence, rank by rank: the places of its pairs lie in a list for each rank, so a round costs as much as it merges."""
+        ids = self.first[np.frombuffer(word, np.uint8)]
+        size = len(ids)
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        alive = np.ones(size + 1, bool)
+        alive[size] = False
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def enter(at: np.ndarray) -> None:
+            at = at[after[at] < size]
+            rank = self.pairs.find(ids[at], ids[after[at]])
+            known = np.flatnonzero(rank < NONE)
+            if not len(known):
+                return
+            order = known[np.argsort(rank[known], kind="stable")]
+            own, starts = np.unique(rank[order], return_index=True)
+            for r, part in zip(own.tolist(), np.split(at[order], starts[1:]), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        enter(np.arange(size - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at]]
+            at = at[after[at] < size]
+            at = at[(ids[at] == self.left[r]) & (ids[after[at]] == self.right[r])]
+            if not len(at):
                 continue
-            ids[i], ids[j], after[i], alive = int(self.made[r]), -1, after[j], alive - 1
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < len(ids):
-                    pair = ids[x], ids[after[x]]
-                    if pair not in seen:
-                        seen[pair] = int(self.pairs.find(np.array([pair[0]]), np.array([pair[1]]))[0])
-                    if seen[pair] < NONE:
-                        heapq.heappush(heap, (seen[pair], x, *pair))
-        return alive
+            if self.left[r] == self.right[r]:  # the pairs of a run of one symbol overlap: every second one merges
+                run = np.r_[False, after[at[:-1]] == at[1:]]
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(run, -1, place))) % 2 == 0]
+            gone = after[at]
+            ids[at], alive[gone] = self.made[r], False
+            after[at] = after[gone]
+            inner = after[at] < size
+            before[after[at[inner]]] = at[inner]
+            left = before[at]
+            enter(np.unique(np.r_[left[left >= 0], at]))
+        return int(alive.sum())
 
     def splitter(self, text: str):
         return self.any_split if self.not_plain.search(text) else self.plain_split
