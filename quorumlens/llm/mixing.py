@@ -2,7 +2,8 @@
 
 Each document gets a hash-random key of 60 bits. Sizes are summed by source and key range (the top
 12 bits), the sums are carried on from range to range, and the one range in which a source's budget
-ends is sorted by key and summed document by document: that gives the source's cut. A document
+ends is cut into ranges by the next bits while it has many rows, then sorted by key and summed document
+by document: that gives the source's cut. A document
 before the cut is taken in the last, partial epoch, the one at the cut as far as the budget goes,
 and every document once in each full epoch. Only the cuts, a row for each source, are joined back.
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from quorumlens.llm.common import WORD, materialise, quoted, table
 
 RANGE_BITS, KEY_BITS = 12, 60
+#: A range of more rows than this is cut into ranges again before it is sorted.
+RANGE_ROWS = 1_000_000
 #: Sources up to which their cuts are broadcast (some 80 bytes each).
 FEW_SOURCES = 20_000
 
@@ -51,18 +54,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return df.select("source", "source_size", "target", "epochs", "rest")
 
 
+def ended(ranges: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Of ranges (source, part, size, n), that in which each source's budget (rest) ends, with what of it is left there."""
+    run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0)))
+    ends = ranges.alias("a").join(budgets.alias("b"), F.expr("a.source <=> b.source and a.before <= b.rest and b.rest < a.before + a.size"))
+    return ends.select("a.source", "a.part", "a.n", (F.col("rest") - F.col("before")).alias("rest"))
+
+
 def cuts(narrow: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """(source, source_size, target, epochs, cut_key, cut_left, cut_copies) of narrow (source, key, size)."""
-    ranges = narrow.groupBy("source", F.shiftright("key", KEY_BITS - RANGE_BITS).alias("part")).agg(F.sum("size").alias("size"))
-    ranges = materialise(ranges, "ranges")
+    part = lambda bits: F.shiftright("key", KEY_BITS - bits).alias("part")
+    summed = lambda df, bits: df.groupBy("source", part(bits)).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    bits = RANGE_BITS
+    ranges = materialise(summed(narrow, bits), "ranges")
     wanted = materialise(targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    at_source = lambda a, b: a["source"].eqNullSafe(b["source"])
-    run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0)))
-    ends = ranges.alias("a").join(wanted.alias("b"), at_source(ranges, wanted)).filter("a.before <= b.rest and b.rest < a.before + a.size")
-    ends = ends.select(F.col("a.source").alias("source"), "part", (F.col("rest") - F.col("before")).alias("rest"))
-    there = narrow.withColumn("part", F.shiftright("key", KEY_BITS - RANGE_BITS)).alias("a").join(ends.alias("b"), F.expr("a.source <=> b.source and a.part = b.part"))
-    keys = there.groupBy(F.col("a.source").alias("source"), "key", "rest").agg(F.sum("size").alias("size"), F.count("*").alias("copies"))
+    ends, there = materialise(ended(ranges, wanted), "ends"), narrow
+    while True:
+        there = there.withColumn("part", part(bits)).drop("rest").alias("a").join(ends.alias("b"), F.expr("a.source <=> b.source and a.part = b.part"))
+        there = there.select("a.source", "key", "a.size", "rest")
+        if bits >= KEY_BITS or (ends.agg(F.max("n")).first()[0] or 0) <= RANGE_ROWS:
+            break
+        bits, there = bits + RANGE_BITS, materialise(there, "open-range")
+        ends = materialise(ended(summed(there, bits), ends), "ends")
+    keys = there.groupBy("source", "key", "rest").agg(F.sum("size").alias("size"), F.count("*").alias("copies"))
     run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     keys = keys.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0))).filter("before <= rest and rest < before + size")
     keys = keys.select("source", F.col("key").alias("cut_key"), (F.col("rest") - F.col("before")).alias("cut_left"), F.col("copies").alias("cut_copies"))
