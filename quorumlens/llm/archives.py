@@ -5,13 +5,15 @@ The converter reads an ARC file's version block, takes the field names of its he
 equivalent WARC record: identifier, ISO timestamp, type and digests are synthesised. Of records
 with equal payloads of at least a given size, the one with the smallest page_id is a response (of
 equal ids the first in its archive) and the others are revisits of it; smaller ones are responses.
+Archives from elsewhere are indexed by reading them; a record that isn't HTTP becomes a resource.
 
 Files lie in the shared folder, under names no two attempts share; a manifest written with them says
 which count, so a task that runs again does no harm. Payloads are never shuffled: only the index is.
 
-Defined results: a null html is an empty payload; a null url is written as "-"; white space in a url
+Defined results: repeated pages are records each, with identifiers of their own; a null html is an empty payload; a null url is written as "-"; white space in a url
 is percent-encoded; a null page_id comes last in order; an empty table gives an empty result. An
-ARC file whose records don't have their declared lengths raises ValueError.
+ARC file whose records don't have their declared lengths, or a page_id that isn't a whole number, raises
+ValueError; a payload of any length is held by one task, record by record; other columns aren't passed on.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import materialise, new_path, quoted, table
+from quorumlens.llm.common import materialise, new_path, quoted, remove, table
 
 # Fixed values of the ARC and WARC formats.
 ARC_FIELDS = {1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"], 2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]}
@@ -61,6 +63,21 @@ def open_in(path: str):
     return system.open_input_stream(at, buffer_size=1 << 20)
 
 
+def opened(path: str):
+    """A stream over the file's bytes, compressed or not."""
+    stream = io.BufferedReader(open_in(path), 1 << 20)
+    return gzip.open(stream) if stream.peek(2)[:2] == b"\x1f\x8b" else stream
+
+
+def parted(body: bytes) -> tuple[bytes, bytes]:
+    """HTTP header, with the blank line that ends it, and payload; a record that isn't HTTP is all payload."""
+    if not body.startswith(b"HTTP/"):
+        return b"", body
+    ends = [(at, at + len(gap)) for gap in (b"\r\n\r\n", b"\n\n") if (at := body.find(gap)) >= 0]
+    cut = min(ends)[1] if ends else len(body)
+    return body[:cut], body[cut:]
+
+
 # ARC
 
 
@@ -131,24 +148,45 @@ def write_arc(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: s
         if out is not None:
             yield close()
 
+    if pages.schema[page_id].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise ValueError(f"{page_id} is no whole number")
     given = pages.select(F.col(quoted(page_id)).cast("long").alias("page_id"), F.col(quoted(url)).cast("string").alias("url"), F.col(quoted(payload)).cast("binary").alias("payload"))
     return materialise(given.mapInArrow(run, INDEX), "arc-index")
 
 
+def index_arcs(files: DataFrame) -> DataFrame:
+    """The index of ARC files (arc: their paths) that others have written; their records have no page_id."""
+
+    def run(batches):
+        for batch in batches:
+            for arc in batch.column(0).to_pylist():
+                rows = []
+                with opened(arc) as source:
+                    for n, (_, body) in enumerate(parse_arc(source)):
+                        payload = parted(body)[1]
+                        rows.append((None, arc, n, len(payload), digest32(payload)))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                names = [f.split()[0] for f in INDEX.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return materialise(files.select("arc").repartition(max(1, files.count()), "arc").mapInArrow(run, INDEX), "arc-index")
+
+
 # Conversion
 
 
 def decided(index: DataFrame, least: int) -> DataFrame:
-    """index with refers_to (null for a response) and revisit."""
+    """index with revisit, refers_to (null for a response) and the place of the record referred to."""
     first = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "arc", "position")
     kept = index.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     both = index.join(kept, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("first").isNotNull() & ~(F.col("arc").eqNullSafe(F.col("first.arc")) & F.col("position").eqNullSafe(F.col("first.position")))
-    return both.select(*index.columns, revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"))
+    return both.select(*index.columns, revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.concat_ws("/", "first.arc", "first.position").alias("refers_place"))
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}/{digest}')}>"
+def record_id(place: str) -> str:
+    """The identifier of the record at a place (archive and number): always the same, and no other record's."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, place)}>"
 
 
 def warc_record(head: list[tuple[str, str]], block: bytes) -> bytes:
@@ -156,18 +194,18 @@ def warc_record(head: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def converted(head: dict[str, str], body: bytes, page_id: int | None, revisit: bool, refers_to: int | None) -> tuple[bytes, str, int]:
-    """The WARC record of an ARC record, its payload's digest and length."""
-    cut = body.find(b"\r\n\r\n") + 4
-    http, payload = body[:cut], body[cut:]
+def converted(head: dict[str, str], body: bytes, row: dict) -> tuple[bytes, str, int]:
+    """The WARC record of an ARC record whose row of the index is given, its payload's digest and length."""
+    http, payload = parted(body)
     digest = digest32(payload)
     date = datetime.strptime(head["Archive-date"], DATES).strftime("%Y-%m-%dT%H:%M:%SZ")
+    revisit, page_id, refers_to = row["revisit"], row["page_id"], row["refers_to"]
     block = http if revisit else body
-    lines = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date), ("WARC-Target-URI", head["URL"]), ("WARC-IP-Address", head["IP-address"])]
-    lines += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{digest32(block)}"), ("Content-Type", "application/http; msgtype=response")]
+    lines = [("WARC-Type", "revisit" if revisit else "response" if http else "resource"), ("WARC-Record-ID", record_id(f"{row['arc']}/{row['position']}")), ("WARC-Date", date), ("WARC-Target-URI", head["URL"]), ("WARC-IP-Address", head["IP-address"])]
+    lines += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{digest32(block)}"), ("Content-Type", "application/http; msgtype=response" if http else head["Content-type"])]
     lines += [("X-Page-ID", str(page_id))] if page_id is not None else []
     if revisit:
-        lines += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Truncated", "length")]
+        lines += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(row["refers_place"])), ("WARC-Truncated", "length"), ("X-Payload-Length", str(len(payload)))]
         lines += [("X-Refers-To-Page-ID", str(refers_to))] if refers_to is not None else []
     return warc_record(lines, block), digest, len(payload)
 
@@ -179,20 +217,22 @@ def arc_to_warc(index: DataFrame, folder: str, least: int = 0) -> DataFrame:
         by = {r["position"]: r for r in rows.to_pylist()}
         arc = rows.column("arc")[0].as_py()
         name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-        with open_out(name) as out, gzip.open(open_in(arc)) as source:
+        with open_out(name) as out, opened(arc) as source:
             info = f"software: {MAKER}\r\nformat: WARC File Format 1.1\r\nconverted-from: {arc.rpartition('/')[2]}\r\n".encode()
             out.write(gzip.compress(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], info), 1))
             n = 0
             for head, body in parse_arc(source):
                 r = by[n]
-                data, digest, size = converted(head, body, r["page_id"], r["revisit"], r["refers_to"])
+                data, digest, size = converted(head, body, r)
                 if (digest, size) != (r["payload_digest"], r["payload_bytes"]):
                     raise ValueError(f"record {n} of {arc} isn't what its index says")
                 out.write(gzip.compress(data, 1, mtime=0))
                 n += 1
         return pa.table({"warc": [name], "n": pa.array([n], pa.int64())})
 
-    return materialise(decided(index, least).groupBy("arc").applyInArrow(run, "warc string, n long"), "warc-list")
+    # a partition for each archive on average: so explicit a number isn't cut down for the index being small
+    archives = max(1, index.select("arc").distinct().count())
+    return materialise(decided(index, least).repartition(archives, "arc").groupBy("arc").applyInArrow(run, "warc string, n long"), "warc-list")
 
 
 # WARC
@@ -217,7 +257,7 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """The response and revisit records of files (warc): their page, payload and links, digests verified."""
+    """The response, resource and revisit records of files (warc): their page, payload and links, digests verified."""
 
     def run(batches):
         names = [f.split()[0] for f in RECORDS.split(", ")]
@@ -226,12 +266,12 @@ def read_warc(files: DataFrame) -> DataFrame:
                 rows = []
                 with gzip.open(open_in(name)) as source:
                     for head, block in parse_warc(source):
-                        if head["warc-type"] not in ("response", "revisit"):
+                        if head["warc-type"] not in ("response", "revisit", "resource"):
                             continue
                         digest = head["warc-payload-digest"].removeprefix("sha1:")
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        size = int(re.search(rb"(?i)content-length: (\d+)", http)[1])
-                        if head["warc-type"] == "response" and (len(payload), digest32(payload)) != (size, digest):
+                        payload = parted(block)[1]
+                        size = int(head.get("x-payload-length", len(payload)))
+                        if head["warc-type"] != "revisit" and (len(payload), digest32(payload)) != (size, digest):
                             raise ValueError(f"{name}: {head['warc-record-id']} has another payload than its header says")
                         pid, to = head.get("x-page-id"), head.get("x-refers-to-page-id")
                         rows.append((None if pid is None else int(pid), size, digest, head["warc-type"], None if to is None else int(to), head["warc-target-uri"], head["warc-date"], head["warc-record-id"]))
@@ -242,8 +282,10 @@ def read_warc(files: DataFrame) -> DataFrame:
 
 
 def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = write_arc(table(spark, sf_dir, "pages"), new_path(spark, "arc"))
-    found = read_warc(arc_to_warc(index, new_path(spark, "warc"), 0))
+    arcs = new_path(spark, "arc")
+    warcs = arc_to_warc(write_arc(table(spark, sf_dir, "pages"), arcs), new_path(spark, "warc"), 0)
+    remove(spark, arcs)  # all of them are converted
+    found = read_warc(warcs)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
