@@ -13,8 +13,10 @@ matrices would be large, the words of all texts are scanned at once. Training ta
 of labelled rows of every language (SAMPLE_PER_LANGUAGE); prediction takes every word of every text.
 
 Defined results: a null text, or one without a letter, is "und" with score 0; without labelled rows
-every text is "und"; rows with a null or repeated id are predicted each; an empty table gives an
-empty table; of other columns only those named as kept are passed on.
+every text is "und"; of equally probable languages the first by name is given; a text of any length is
+labelled whole; rows with a null or repeated id are predicted each, and equal rows are learned from once;
+an empty table gives an empty table; of other columns only those named as kept are passed on, and a kept
+one named like a result raises ValueError.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from quorumlens.llm.common import quoted, table
 UNKNOWN = "und"
 #: Labelled rows per language that training takes; every language is learned, beyond MANY of fewer rows and weights each.
 SAMPLE_PER_LANGUAGE, MANY = 300, 64
-#: Characters that training takes of all rows together, and rows and characters that it takes of each language in any case.
+#: Characters that training takes of all rows together, in whole texts, and rows and characters that it takes of each language in any case.
 SAMPLE_CHARS = 6_000_000
 LEAST_ROWS, LEAST_CHARS = 20, 20_000
 BITS = 18
@@ -271,24 +273,35 @@ def sample(docs: DataFrame, doc_id: Column, text: Column, lang: Column) -> tuple
     each = SAMPLE_PER_LANGUAGE if len(counts) <= MANY else max(LEAST_ROWS, SAMPLE_PER_LANGUAGE * MANY // len(counts))
     pairs = [F.lit(v) for name, n in counts.items() for v in (name, max(1, int(min(1.0, each / n) * 1_000_000)))]
     share = F.create_map(*pairs)[F.col("lang")]
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < share)
-    # several times the expected rows could only come of repeated ids; the bound holds all the same
-    found = sorted(tuple(r) for r in chosen.limit(2 * each * len(counts)).select("lang", "id", "text").collect())
+    order = [F.xxhash64("id", F.lit(17)), F.col("id"), F.col("body")]
+    rows = rows.withColumns({"body": F.xxhash64("text"), "chars": F.length("text")})
+    narrow = rows.select("lang", "id", "body", "chars")
+    chosen = narrow.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < share).distinct()
+    # several times the expected rows could only come of repeated ids; the bound holds all the same, in an order that any run has
+    found = [tuple(r) for r in chosen.orderBy(*order, "lang").limit(2 * each * len(counts)).collect()]
     missed = sorted(counts.keys() - {r[0] for r in found})
     if missed:  # only repeated ids leave a language without a row: it gets one
-        one = rows.filter(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by(F.struct("id", "text"), F.xxhash64("id", "text")).alias("r"))
-        found += sorted(tuple(r) for r in one.select("lang", "r.id", "r.text").collect())
-    texts, labels, left = [], [], dict.fromkeys(counts, max(LEAST_CHARS, SAMPLE_CHARS // len(counts)))
-    for name, _, body in found:
-        if left[name] > 0:
-            texts.append(body[: left[name]])
-            labels.append(name)
-            left[name] -= len(body)
-    return texts, labels
+        one = narrow.filter(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by(F.struct("id", "body", "chars"), F.struct(*order)).alias("r"))
+        found += [tuple(r) for r in one.select("lang", "r.*").collect()]
+    # whole texts as far as each language's share of the characters goes; one whose texts are all longer takes its shortest
+    picked, left = [], dict.fromkeys(counts, max(LEAST_CHARS, SAMPLE_CHARS // len(counts)))
+    for name, key, body, chars in found:
+        if chars <= left[name]:
+            picked.append((name, key, body))
+            left[name] -= chars
+    for name in sorted(counts.keys() - {r[0] for r in picked}):
+        _, _, key, body = min((chars, i, key, body) for i, (lang_, key, body, chars) in enumerate(found) if lang_ == name)
+        picked.append((name, key, body))
+    wanted = docs.sparkSession.createDataFrame(picked, "lang string, id string, body long")
+    told = rows.join(F.broadcast(wanted), ["lang", "id", "body"]).dropDuplicates(["lang", "id", "body"]).select("lang", "id", "body", "text").collect()
+    told.sort(key=lambda r: (r["lang"], r["id"], r["body"]))
+    return [r["text"] for r in told], [r["lang"] for r in told]
 
 
 def languages(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns of keep, lang_pred and score (or what names calls them) of each row, by a field trained on the rows where learn holds."""
+    if {k.lower() for k in keep} & {n.lower() for n in names}:
+        raise ValueError(f"kept columns {keep} clash with the results {names}")
     told = sample(docs.filter(learn), F.col(quoted(doc_id)), F.col(quoted(text)), F.col(quoted(lang)))
     model = docs.sparkSession.sparkContext.broadcast(train(*told))  # 2**18 weights for each of up to 128 languages, 2**25 in all up to 2**15 languages
     schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
