@@ -46,7 +46,7 @@ def test_token_counts_are_the_librarys(spark):
     lib, rng = Tokenizer.from_file(path), random.Random(3)
     texts = [t for t in ODD if t is not None]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x20, 0x3000), rng.randrange(0, 0x20), 32])) for _ in range(300)) for _ in range(60)]
-    texts += ["a" * 9000, "".join(rng.choice("abcdef") for _ in range(6000)), "  \n\n  x 　y 's 'LL don't"]
+    texts += ["ab" * 3000 + "a" * 5001, "xyz" * 1700 + "".join(rng.choice("etaoinshr") for _ in range(30000)), "中文字" * 3000, "a" * 9000, "".join(rng.choice("abcdef") for _ in range(6000)), "  \n\n  x 　y 's 'LL don't"]
     texts += [r.text for r in table(spark, SF, "documents").select("text").limit(150).collect()]
     want = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
     got = {r.doc_id: r for r in token_counts.token_counts(docs(spark, texts), path).collect()}
@@ -159,6 +159,16 @@ def test_mix_of_nothing_and_of_equal_rows(spark):
 # 4
 
 
+def test_mix_refines_its_ranges(spark, monkeypatch):
+    """The same cut whether the range in which a budget ends is sorted at once or cut into ranges, to the last bit, before."""
+    rng = random.Random(5)
+    df = docs(spark, [prose(rng, rng.randrange(30)) for _ in range(400)] + ["same words here"] * 40, ids=[*range(400), *[7] * 40])
+    want = sorted((r.doc_id, r.size, r.taken) for r in mixing.mix_counts(df).collect())
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 0)
+    monkeypatch.setattr(mixing, "RANGE_BITS", 4)
+    assert sorted((r.doc_id, r.size, r.taken) for r in mixing.mix_counts(df.filter("doc_id < 400")).collect()) == want
+
+
 def test_grades_separate(spark):
     rng = random.Random(2)
     good = [prose(rng, 60) for _ in range(300)]
@@ -177,7 +187,46 @@ def test_grades_separate(spark):
 def test_capitals_are_counted_over_the_whole_text():
     for text in ("a" * 7999, "ab" * 2000 + "C" * 3999, ("x" * 9 + "Y") * 1000, "Éé" * 5000):
         share = sum(c.isupper() for c in text) / len(text)
-        assert f"\x00upper{min(9, int(np.ceil(np.sqrt(share) * 10)))}" in grades.shares(text)
+        assert f"upper{min(9, int(np.ceil(np.sqrt(share) * 10)))}" in grades.shares(text)
+
+
+def test_grade_scores_by_hand(spark):
+    """Probabilities, expected and likeliest grades against sets and dictionaries, of whole texts, by batches of any size."""
+    rng = random.Random(12)
+    texts = [prose(rng, 60, 200) + (" vile idiot" if i % 5 == 0 else " splendid Craftsmanship 3!") for i in range(120)] + ODD + [prose(rng, 30_000, 3000)]
+    marks = [(i, int(i % 5 > 1), int(i % 5 == 0)) for i in range(120)]
+    labels = spark.createDataFrame([*marks, *marks[:9]], "doc_id long, quality int, toxic int")
+    df = docs(spark, texts).unionByName(docs(spark, texts[:1]))
+    model = grades.train(*grades.sample(df, grades.graded(labels), "doc_id", "text"))
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    assert list(model.features) == sorted(set(model.features)) and len(weights) > 50 and np.all(np.diff(model.thresholds) >= 0)
+
+    def brute(text):
+        words = set(re.findall(r"[^\W_]+", text.lower()))
+        own = {(0, w) for w in words} | {(1, w[:4]) for w in words if len(w) > 5} | {(1, w[:5]) for w in words if len(w) > 6} | {(2, x) for x in grades.shares(text)}
+        s = sum(weights.get(xxhash.xxh64_intdigest(name.encode(), kind), 0.0) for kind, name in own)
+        return [1 / (1 + np.exp(c - s)) for c in model.thresholds]
+
+    rows = grades.select(df, labels).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        first, second = brute(texts[r.doc_id] or "")
+        each = [1 - first, first - second, second]
+        assert r.p_tail == pytest.approx(second) and r.expected_grade == pytest.approx(first + second) and r.kept == (r.p_tail >= 0.5) and each[r.grade] == pytest.approx(max(each))
+
+
+def test_grades_agree_however_rows_are_dealt(spark, monkeypatch):
+    """More labelled rows than the sample takes, repeated rows and several orders: the same sample, so the same scores."""
+    rng = random.Random(13)
+    monkeypatch.setattr(grades, "SAMPLE", 60)
+    monkeypatch.setattr(grades, "SAMPLE_CHARS", 9000)
+    texts = [prose(rng, 40, 100) + (" vile" if i % 3 == 0 else "") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 1), int(i % 3 == 0)) for i in range(300)] * 2, "doc_id long, quality int, toxic int")
+    df = docs(spark, texts)
+    runs = [[(r.doc_id, r.p_tail) for r in grades.select(d, l).orderBy("doc_id").collect()] for d, l in ((df, labels), (df.repartition(7, "text"), labels.repartition(5)), (df.orderBy(F.rand(3)), labels.orderBy(F.rand(4))))]
+    assert runs[0] == runs[1] == runs[2]
+    told = grades.sample(df, grades.graded(labels), "doc_id", "text")[0]
+    assert 10 < len(told) <= 60 and sum(map(len, told)) <= 9000
 
 
 def test_grades_on_the_documents(spark):
@@ -221,8 +270,6 @@ def test_licence_scores_are_the_models(spark):
     for i, text in enumerate(texts):
         best = []
         for n, line in enumerate(text.split("\n")):
-            if not any(g in weights for g in licences.ngrams_of(line)):
-                continue  # unknown
             s = (offset + sum((weights[g] for g in licences.ngrams_of(line) if g in weights), np.zeros(len(offset)))) / heat
             p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
             if p[:-1].max() >= max(p[-1], licences.LEAST):
@@ -265,42 +312,57 @@ def test_base_counts():
 
 
 def brute_kneser_ney(texts):
-    """Modified Kneser-Ney over symbols by dictionaries; returns p(context, symbol)."""
-    count = Counter(int(g) for t in texts for g in perplexity.grams(t))
-    width = perplexity.SYMBOL_BITS
-    orders = {4: count}
-    for k in (3, 2, 1):
-        orders[k] = Counter({})
-        for g in orders[k + 1]:
-            orders[k][g & ((1 << k * width) - 1)] += 1
-    d = {k: perplexity.discounts(np.array(list(c.values()))) for k, c in orders.items()}
-
-    def p(k, gram):
-        if k == 0:
-            return 1 / 64
-        gram &= (1 << k * width) - 1
-        group = [(g, n) for g, n in orders[k].items() if g >> width == gram >> width]
-        if not group:
-            return p(k - 1, gram)
-        total = sum(n for _, n in group)
-        back = sum(d[k][min(n, 3)] for _, n in group) / total
-        n = orders[k].get(gram, 0)
-        return (n - d[k][min(n, 3)] if n else 0) / total + back * p(k - 1, gram)
-
-    return lambda gram: p(4, gram)
-
-
-def test_perplexity_is_kneser_neys():
+    """Modified Kneser-Ney over symbols by dictionaries, without one occurrence of the five-gram asked for; returns p(five-gram)."""
+    width, top = perplexity.SYMBOL_BITS, perplexity.ORDER
+    whole = Counter(int(g) for t in texts for g in perplexity.grams(t))
+
+    def orders_of(count):
+        orders = {top: count}
+        for k in range(top - 1, 0, -1):
+            orders[k] = Counter(g & ((1 << k * width) - 1) for g in orders[k + 1])
+        return orders
+
+    d = {k: perplexity.discounts(*[sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]) for k, c in orders_of(whole).items()}
+
+    def p(gram):
+        less = Counter(whole)
+        less[gram] -= 1
+        orders, out = orders_of(+less), perplexity.UNIFORM
+        for k in range(1, top + 1):
+            own = gram & ((1 << k * width) - 1)
+            group = [n for g, n in orders[k].items() if g >> width == own >> width]
+            if group:
+                n = orders[k].get(own, 0)
+                out = (max(0, n - d[k][min(n, 3)]) + sum(d[k][min(x, 3)] for x in group) * out) / sum(group)
+        return out
+
+    return p
+
+
+def test_perplexity_is_kneser_neys_without_the_occurrence(spark, tmp_path, monkeypatch):
     rng = random.Random(6)
-    texts = ["".join(rng.choice("aabcde fgh.") for _ in range(50)) for _ in range(25)] + ["é 中\n#1"]
-    grams = np.concatenate([perplexity.grams(t) for t in texts])
-    keys, n = np.unique(grams, return_counts=True)
-    model = perplexity.fit(keys, n)
-    p = brute_kneser_ney(texts)
-    asked = np.unique(np.concatenate([perplexity.grams(t) for t in ["never seen zq", texts[0], "é|"]])).astype(np.int64)
-    assert np.allclose(np.exp(perplexity.log_probabilities(model, asked)), [p(int(g)) for g in asked], rtol=1e-9)
-    for context in (0, int(keys[50]) >> 6, 999):
-        assert np.exp(perplexity.log_probabilities(model, (context << 6) | np.arange(64))).sum() == pytest.approx(1)
+    texts = ["".join(rng.choice("aabcde fgh.") for _ in range(50)) for _ in range(25)] + ["é 中\n#1", None, "", "привет мир привет"]
+    own = [t or "" for t in texts]
+    asked = np.unique(np.concatenate([perplexity.grams(t) for t in own]))
+    p = brute_kneser_ney([t for t in texts if t is not None])
+    some = rng.sample(range(len(asked)), 120)
+    for rows in (2_000_000, 50):  # in one file each, and in many
+        monkeypatch.setattr(perplexity, "FILE_ROWS", rows)
+        model = perplexity.fit(docs(spark, texts), f"file://{tmp_path}/model{rows}")
+        assert (model[-1]["grams"][0] > 1) == (rows == 50)
+        got = np.exp(perplexity.log_probabilities(model, asked))
+        assert np.allclose(got[some], [p(int(asked[i])) for i in some], rtol=1e-9)
+    monkeypatch.setattr(perplexity, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(perplexity, "BLOCK_CHARS", 100)
+    means = {r.doc_id: r.mean_log for r in perplexity.scored(docs(spark, texts), model).collect()}
+    logs = dict(zip(asked.tolist(), np.log(got).tolist(), strict=True))
+    assert means == pytest.approx({i: -np.mean([logs[g] for g in perplexity.grams(t).tolist()]) for i, t in enumerate(own)})
+
+
+def test_letters_of_an_alphabet_have_symbols_of_their_own():
+    for first, last in (("а", "я"), ("α", "ω"), ("א", "ת"), ("一", "乿"), ("!", "/")):
+        points = range(ord(first), ord(last) + 1)
+        assert len({int(perplexity.TABLE[x]) for x in points}) == len(points)
 
 
 def test_quality_rejects_junk_and_keeps_prose(spark):
@@ -334,6 +396,25 @@ def test_archives_round_trip(spark, tmp_path):
     assert archives.read_warc(archives.arc_to_warc(empty, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_archives_from_elsewhere(spark, tmp_path):
+    """A plain ARC file with records of bare line feeds, of no HTTP and of no payload, indexed by reading it; repeated pages get identifiers of their own."""
+    bodies = [b"HTTP/1.0 200 OK\nContent-Type: text/html\n\npage\r\n\r\nmore", b"example.org. 1 IN A 10.0.0.1", b"HTTP/1.1 204 No Content", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\npage\r\n\r\nmore"]
+    heads = ["http://a", "dns:example.org", "http://b", "http://c"]
+    whole = archives.arc_block("x", 1, archives.ARCHIVE_DATE) + b"".join(f"{h} 0.0.0.0 20011231235959 text/plain {len(b)}\n".encode() + b + b"\n" for h, b in zip(heads, bodies, strict=True))
+    (tmp_path / "old.arc").write_bytes(whole)
+    index = archives.index_arcs(spark.createDataFrame([(f"file://{tmp_path}/old.arc",)], "arc string"))
+    rows = {r.url: r for r in archives.read_warc(archives.arc_to_warc(index, f"file://{tmp_path}/warc")).collect()}
+    told = {u: (r.record_type, r.payload_bytes, r.payload_digest) for u, r in rows.items()}
+    page = archives.digest32(b"page\r\n\r\nmore")
+    assert told == {"http://a": ("response", 12, page), "dns:example.org": ("resource", 28, archives.digest32(bodies[1])), "http://b": ("response", 0, archives.digest32(b"")), "http://c": ("revisit", 12, page)}
+    assert rows["http://a"].warc_date == "2001-12-31T23:59:59Z" and len({r.record_id for r in rows.values()}) == 4
+    same = spark.createDataFrame([(1, "u", "x" * 3_000_000, "clash")] * 3, "page_id long, url string, html string, arc string")
+    again = archives.read_warc(archives.arc_to_warc(archives.write_arc(same, f"file://{tmp_path}/same"), f"file://{tmp_path}/same-warc")).collect()
+    assert len({r.record_id for r in again}) == 3 and Counter(r.record_type for r in again) == {"response": 1, "revisit": 2}
+    with pytest.raises(ValueError, match="whole number"):
+        archives.write_arc(spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string"), f"file://{tmp_path}/bad")
+
+
 def test_arc_with_a_wrong_length():
     import io
 
@@ -466,6 +547,18 @@ def test_simhash_components(spark):
     assert simhash.keep_first(docs(spark, [])).count() == 0
 
 
+def test_candidates_stay_few():
+    """Of unlike fingerprints, few meet under a key, at two sizes; they grew with N / 2**24 for each lookup when keys had 24 bits."""
+    for n in (2000, 8000):
+        fps = np.random.default_rng(n).integers(-(1 << 63), (1 << 63) - 1, n)
+        at, own = simhash.keys(fps, False)
+        to, looked = simhash.keys(fps, True)
+        assert len(own) == 7 * n and len(looked) < 260 * n
+        order = np.sort(own)
+        met = (np.searchsorted(order, looked, "right") - np.searchsorted(order, looked, "left")).sum()
+        assert n * 7 <= met < n * 7 + n * n * 260 / (1 << 33) * 20 + 10
+
+
 def test_no_pair_within_three_bits_is_lost():
     rng = random.Random(11)
     for _ in range(400):
