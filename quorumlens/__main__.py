@@ -33,7 +33,7 @@ def predict(spark: SparkSession, args: argparse.Namespace) -> int:
 def check(spark: SparkSession, args: argparse.Namespace) -> int:
     t = logs.topology(Path(args.topology).read_text(encoding="utf-8"))
     events = logs.events(spark, args.events)
-    if errors := chaos.timeline_errors(events).orderBy("test", "error").collect():  # a few rows for each test
+    if errors := chaos.timeline_errors(events, t).orderBy("test", "error").collect():  # a few rows for each test
         raise SystemExit("\n".join(f"test {e.test}: {e.error}" for e in errors))
     lines = chaos.timelines(events, t, duration_ns_py(args.tolerance))
     requests = logs.requests(spark, args.records)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def fingerprint(members: Column, n: Column, vnodes: int = VNODES, scheme: str =
     return F.sha2(F.concat(body, F.lit("n "), n.cast("string"), F.lit(f"\nvnodes {vnodes}\nscheme {scheme}\n")), 256)
 
 
+def fingerprint_py(members: dict[str, str], n: int, vnodes: int = VNODES, scheme: str = SCHEME) -> str:
+    """The same on the driver."""
+    body = "".join(f'member "{k}" "{v}"\n' for k, v in sorted(members.items()))
+    return hashlib.sha256(f"{body}n {n}\nvnodes {vnodes}\nscheme {scheme}\n".encode()).hexdigest()
+
+
 def parent(i: Column) -> Column:
     return ((i - 1) / 2).cast("int")
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlens.functions.sizes import if_small
 from quorumlens.operators.placement import owners_of
 
 SECOND = 1_000_000_000
@@ -97,7 +98,7 @@ def faults_frame(spark, topology: Topology, faults: Sequence[tuple[str, list[str
 def predictions(placed: DataFrame, faults: DataFrame, t: Topology) -> DataFrame:
     """placed (key, owners) by fault, side and op, with expect: a few rows of faults for each key."""
     ops = F.explode(F.array(F.lit("put"), F.lit("get")))
-    each = placed.crossJoin(F.broadcast(faults)).withColumn("op", ops)
+    each = placed.crossJoin(if_small(faults)).withColumn("op", ops)
     return each.withColumn("expect", expected(F.col("kind"), F.col("pods"), F.col("op"), F.col("owners"), F.col("target"), t))
 
 
@@ -141,15 +142,35 @@ def timelines(events: DataFrame, topology: Topology, tolerance: int, detection:
     })
 
 
-def timeline_errors(events: DataFrame) -> DataFrame:
-    """(test, error) of timelines that can't be judged."""
+def known_fault(fault: Column, t: Topology) -> Column:
+    """Whether a spec is a fault of this topology: of its members or zones, and a partition with something on the other side."""
+    head, rest = F.split(fault, ":", 2)[0], F.coalesce(F.get(F.split(fault, ":", 2), F.lit(1)), F.lit(""))
+    pods = F.array_distinct(F.split(rest, ","))
+    members = F.forall(pods, lambda p: p.isin(t.pods)) & ((head == "down") | (F.size(pods) < len(t.pods)))
+    parts = [z for z, p in t.zone_pods().items() if len(p) < len(t.pods)]
+    named = F.when(head == "zone", rest.isin(sorted(set(t.zones.values())))).when(head == "partition-zone", rest.isin(parts or [""]))
+    return F.coalesce((fault == "none") | F.when(head.isin("down", "partition"), members).otherwise(named), F.lit(False))
+
+
+def timeline_errors(events: DataFrame, topology: Topology | None = None) -> DataFrame:
+    """(test, error) of timelines that can't be judged; with a topology, faults that it doesn't know and marks of members that aren't down too."""
     count = lambda event: F.count_if(F.col("event") == event)
     at = lambda event: F.min(F.when(F.col("event") == event, F.col("time_ns")))
     odd = ~F.col("event").isin("inject", "mark", "heal")
     nameless = (F.col("event") == "mark") & (F.coalesce("mark", F.lit("")) == "")
     by = events.groupBy("test").agg(count("inject").alias("injects"), count("heal").alias("heals"), at("inject").alias("i"), at("heal").alias("h"), F.count_if(odd).alias("odd"), F.count_if(nameless).alias("nameless"))
     named = {"injected twice": F.col("injects") > 1, "healed twice": F.col("heals") > 1, "never injected": F.col("injects") == 0, "healed before it was injected": F.col("h") < F.col("i"), "unknown event": F.col("odd") > 0, "a mark without a name": F.col("nameless") > 0}
-    return by.select("test", F.explode(F.filter(F.array(*[F.when(c, e) for e, c in named.items()]), lambda x: x.isNotNull())).alias("error"))
+    out = by.select("test", F.explode(F.filter(F.array(*[F.when(c, e) for e, c in named.items()]), lambda x: x.isNotNull())).alias("error"))
+    if topology is None:
+        return out
+    faults = events.filter("event = 'inject'").select("test", "fault").distinct()
+    unknown = faults.filter(~known_fault(F.coalesce("fault", F.lit("")), topology)).select("test", F.lit("unknown fault").alias("error")).distinct()
+    zones = F.create_map(*[x for z, p in topology.zone_pods().items() for x in (F.lit(z), F.array(*map(F.lit, p)))])
+    head, rest = F.split("fault", ":", 2)[0], F.get(F.split("fault", ":", 2), F.lit(1))
+    down = F.when(head == "zone", zones[rest]).when(head == "down", F.split(rest, ","))
+    marks = events.filter("event = 'mark'").select("test", F.regexp_extract("mark", "^serving-(.+)$", 1).alias("pod")).filter("pod <> ''").distinct()
+    stray = marks.join(faults.filter(known_fault(F.coalesce("fault", F.lit("")), topology)), "test").filter(~F.coalesce(F.array_contains(down, F.col("pod")), F.lit(False)))
+    return out.unionByName(unknown).unionByName(stray.select("test", F.lit("a mark of a member that is not down").alias("error")).distinct())
 
 
 def overlaps(start: Column, end: Column, lo: Column, hi: Column) -> Column:
@@ -158,7 +179,7 @@ def overlaps(start: Column, end: Column, lo: Column, hi: Column) -> Column:
 
 def phased(requests: DataFrame, lines: DataFrame) -> DataFrame:
     """requests with their test's timeline (a row for each test), phase, and the fault in force when each began."""
-    marked = requests.join(F.broadcast(lines.withColumn("judged", F.lit(True))), "test", "left")
+    marked = requests.join(if_small(lines.withColumn("judged", F.lit(True))), "test", "left")
     start, end = F.col("start"), F.col("end")
     hit = overlaps(start, end, F.col("in_from"), F.col("in_to")) | F.coalesce(overlaps(start, end, F.col("out_from"), F.col("out_to")), F.lit(False)) | F.coalesce(F.exists("back_windows", lambda w: overlaps(start, end, w["from"], w["to"])), F.lit(False))
     during = (start > F.col("inject")) & (F.col("heal").isNull() | (end < F.col("heal")))
@@ -267,5 +288,5 @@ def verdict(rows: DataFrame, report: DataFrame) -> DataFrame:
 def offsets(events: DataFrame) -> DataFrame:
     """Marks and heals of each test as seconds after its injection."""
     inject = events.filter("event = 'inject'").groupBy("test").agg(F.min("time_ns").alias("inject"))
-    later = events.filter("event <> 'inject'").join(F.broadcast(inject), "test")
+    later = events.filter("event <> 'inject'").join(if_small(inject), "test")
     return later.select("test", F.coalesce("mark", "event").alias("mark"), F.round((F.col("time_ns") - F.col("inject")) / SECOND, 1).alias("seconds"))

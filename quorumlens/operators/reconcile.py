@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlens.functions import clocks
 from quorumlens.functions.hashes import bucket_for
+from quorumlens.operators.placement import owners_of, shares_replica
 from quorumlens.operators.versions import missing_from, survivors
 
 BUCKETS = 16
@@ -21,17 +26,32 @@ def item_text(value: Column, clock: Column, by: Column, deleted: Column) -> Colu
 def leaves(versions: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, hash) of a replica's resolved versions (key, item): SHA-256 of keys and item texts in order; empty buckets too.
 
-    A bucket's bytes are hashed in one go, as the hash is defined over all of them; a tree for more keys takes more buckets.
+    The hash of a bucket is defined over all its bytes in order of key and item, so its rows are sorted, which spills,
+    and one task runs the hash over them row by row: no bucket is held. A tree for more keys takes more buckets.
     """
     if buckets <= 0 or buckets & (buckets - 1) or (buckets.bit_length() - 1) % 2:
         raise ValueError("the number of buckets must be a power of four")
     spark = versions.sparkSession
-    by_key = versions.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    text = F.concat(F.col("key"), F.lit("\0"), F.array_join(F.transform("items", lambda i: F.concat(i, F.lit("\0"))), ""))
-    by_bucket = by_key.select(bucket_for(F.col("key"), buckets).alias("bucket"), F.struct("key", text.alias("text")).alias("k")).groupBy("bucket").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    whole = by_bucket.select("bucket", F.array_join(F.transform("ks", lambda k: k["text"]), "").alias("text"))
-    every = spark.range(buckets).select(F.col("id").alias("bucket"))
-    return every.join(whole, "bucket", "left").select(F.col("bucket").cast("int").alias("bucket"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+
+    def run(batches):
+        at, key, digest = None, None, None
+        for batch in batches:
+            for bucket, own, item in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([digest.hexdigest()])], names=["bucket", "hash"])
+                    at, key, digest = bucket, None, hashlib.sha256()
+                if own != key:
+                    digest.update(own.encode() + b"\0")
+                    key = own
+                digest.update(item.encode() + b"\0")
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([digest.hexdigest()])], names=["bucket", "hash"])
+
+    rows = versions.select(bucket_for(F.col("key"), buckets).cast("int").alias("bucket"), "key", "item")
+    hashed = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "item").mapInArrow(run, "bucket int, hash string")
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    return every.join(hashed, "bucket", "left").select("bucket", F.coalesce("hash", F.sha2(F.lit(""), 256)).alias("hash"))
 
 
 def tree(leaf: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -57,20 +77,27 @@ def divergent(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.withColumnRenamed("hash", "other"), "bucket").filter("hash <> other").select("bucket")
 
 
-def exchanged(local: DataFrame, remote: DataFrame, buckets: DataFrame, n: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """What local pulls and pushes in the divergent buckets: versions that the other side doesn't cover."""
+def exchanged(local: DataFrame, remote: DataFrame, buckets: DataFrame, n: int = BUCKETS, shared: tuple[Sequence[str], int, str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What local pulls and pushes in the divergent buckets: versions that the other side doesn't cover.
+
+    shared (members, copies, this node, the peer) keeps to the keys that both own: any other would get a copy that no read consults.
+    """
     there = lambda df: df.withColumn("bucket", bucket_for(F.col("key"), n).cast("int")).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")  # noqa: E731  one row for each bucket at most
+    if shared is not None:
+        members, copies_, node, peer = shared
+        both = lambda df: owners_of(df, members, copies_, to="__owners_of").filter(shares_replica(F.col("__owners_of"), F.lit(node), F.lit(peer))).drop("__owners_of")
+        local, remote = both(local), both(remote)
     mine, theirs = there(local), there(remote)
     return missing_from(mine, theirs), missing_from(theirs, mine)
 
 
-def reconciled(local: DataFrame, remote: DataFrame, n: int = BUCKETS, item: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def reconciled(local: DataFrame, remote: DataFrame, n: int = BUCKETS, item: Column | None = None, shared: tuple[Sequence[str], int, str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Both replicas after a round: each side's versions and what it got, resolved again.
 
     What is exchanged is small beside the replicas and read several times, so it is persisted; lost parts are computed again.
     """
     told = lambda df: leaves(df.withColumn("item", item if item is not None else F.col("item")), n)
-    pull, push = exchanged(local, remote, divergent(told(local), told(remote)), n)
+    pull, push = exchanged(local, remote, divergent(told(local), told(remote)), n, shared)
     return survivors(local.unionByName(pull.persist())), survivors(remote.unionByName(push.persist()))
 
 

@@ -7,6 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlens.functions.sizes import if_small
+
+# What a node reports of itself, with the label values of each.
+NODE_METRICS = {
+    "kv_membership_epoch": [""], "kv_membership_member": [""], "kv_membership_conflicts_total": [""], "kv_pings_received_total": [""],
+    "kv_peers": [""], "kv_peers_alive": [""], "kv_peers_reachable": [""], "kv_quorum_failures_total": ["read", "write"],
+    "kv_memtable_estimated_bytes": ["data", "hints"], "kv_sstables": ["data", "hints"], "kv_flushes_total": ["data ok", "data error", "hints ok", "hints error"],
+    "kv_compactions_total": ["data ok", "data error", "hints ok", "hints error"], "kv_storage_writes_total": ["data", "hints"], "kv_storage_writes_halted": ["data", "hints"],
+    "kv_hints_created_total": [""], "kv_hints_delivered_total": [""], "kv_hints_pending": [""],
+    "kv_handoff_epoch": [""], "kv_handoff_done": [""], "kv_handoff_pushed": [""], "kv_handoff_hinted": [""], "kv_handoff_pending": [""],
+    "kv_handoffs_completed_total": [""], "kv_handoff_last_duration_seconds": [""], "kv_handoff_duration_seconds_total": [""],
+    "kv_antientropy_rounds_total": [""], "kv_antientropy_last_round_duration_seconds": [""], "kv_antientropy_round_duration_seconds_total": [""],
+    "kv_antientropy_peer_failures_total": [""], "kv_antientropy_keys_repaired_total": ["pulled", "pushed"],
+}
+#: Metrics that are absent while what they depend on is 0: (metric, column that tells).
+ABSENT_UNTIL = {"kv_hints_pending": "hint_rounds", "kv_handoff_last_duration_seconds": "handoffs_completed", "kv_antientropy_last_round_duration_seconds": "antientropy_rounds"}
+
 
 def increases(samples: DataFrame, series: Sequence[str], time: str = "time_us", value: str = "counter_value", order: str = "sample") -> DataFrame:
     """samples with increase: the step from the series' last sample, a whole value after a reset, 0 for the first."""
@@ -71,7 +88,7 @@ def ramp_steps(stages: DataFrame, start_rate: float) -> DataFrame:
 
 def in_steps(iterations: DataFrame, steps: DataFrame, at: str = "at_s") -> DataFrame:
     """iterations with the step (half-open in seconds) that each began in; null between steps. steps are a few rows."""
-    return iterations.join(F.broadcast(steps), (F.col(at) >= F.col("from_s")) & (F.col(at) < F.col("to_s")), "left")
+    return iterations.join(if_small(steps), (F.col(at) >= F.col("from_s")) & (F.col(at) < F.col("to_s")), "left")
 
 
 def step_stats(iterations: DataFrame, latency: str, ok: Column) -> DataFrame:
@@ -146,3 +163,27 @@ def long_metrics(stats: DataFrame, labels: Sequence[str]) -> DataFrame:
     """One row for each metric of a wide snapshot that is known (not null)."""
     names = [c for c in stats.columns if c not in labels]
     return stats.select(*labels, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(list(labels), names, "metric", "value").filter("value is not null")
+
+
+def node_snapshot(stats: DataFrame, of, labels: Sequence[str] = ("instance",)) -> DataFrame:
+    """(labels, metric, label, value) of snapshots, a row each: of(metric, label) gives the column that a metric's value comes from.
+
+    A metric of what has not happened yet is absent, not 0.
+    """
+    known = lambda m: F.col(ABSENT_UNTIL[m]) > 0 if m in ABSENT_UNTIL else F.lit(True)
+    rows = [F.struct(F.lit(m).alias("metric"), F.lit(x).alias("label"), F.when(known(m), of(m, x)).cast("double").alias("value")) for m, all_ in NODE_METRICS.items() for x in all_]
+    return stats.select(*labels, F.explode(F.array(*rows)).alias("r")).select(*labels, "r.*").filter("value is not null")
+
+
+def around(samples: DataFrame, marks: DataFrame, series: Sequence[str], *, before_s: int = 60, after_s: int = 30, step_s: int = 15, lookback_s: int = 300, time: str = "time_us", value: str = "counter_value", order: str = "sample") -> DataFrame:
+    """(mark, series, offset_s, value) every step from before to after each mark (mark, at_us): the last sample no older than lookback.
+
+    Samples meet the few points of time of their span of lookback on equality, so one pass over them does.
+    """
+    us = 1_000_000
+    points = marks.select("mark", "at_us", F.explode(F.sequence(F.lit(-before_s), F.lit(after_s), F.lit(step_s))).alias("offset_s")).withColumn("t", F.col("at_us") + F.col("offset_s") * us)
+    span = F.floor(F.col("t") / (lookback_s * us)).cast("long")
+    points = points.withColumn("span", F.explode(F.array(span, span - 1)))
+    met = samples.withColumn("span", F.floor(F.col(time) / (lookback_s * us)).cast("long")).join(if_small(points), "span")
+    met = met.filter((F.col(time) <= F.col("t")) & (F.col(time) > F.col("t") - lookback_s * us))
+    return met.groupBy("mark", *series, "offset_s").agg(F.max_by(value, F.struct(time, order)).alias("value"))

@@ -28,19 +28,8 @@ def versioned_put(spark, sf):
     return out.select("key", *[F.coalesce(F.col("clock")[f"kv-{i}"], F.lit(0)).alias(f"v{i}") for i in range(3)], "is_deleted")
 
 
-@query(f"{with_clause('W1')}, f AS (SELECT * FROM W1 WHERE seq % 4 = 0), {maximal('s', 'f')} SELECT key, count(*) AS n, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs FROM s GROUP BY key")
-def sibling_fold(spark, sf):
-    """The fold over arrays, for keys of few versions: a quarter of the log. sibling_fold_whole folds all of it."""
-    item = F.struct("seq", "clock")
-    held = w1(spark, sf).filter("seq % 4 = 0").groupBy("key").agg(F.collect_list(item).alias("v"))
-    ordered = F.array_sort("v", lambda a, b: F.when(a["seq"] < b["seq"], -1).otherwise(1))
-    kept = versions.merge_siblings(F.slice(ordered, 1, 0), ordered)
-    seqs = F.array_sort(F.transform(kept, lambda x: x["seq"]))
-    return held.select("key", F.size(seqs).cast("long").alias("n"), F.array_join(seqs, ",").alias("seqs"))
-
-
 @query(f"{with_clause('W1')}, {maximal('s', 'W1')} SELECT key, count(*) AS n, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS seqs FROM s GROUP BY key")
-def sibling_fold_whole(spark, sf):
+def sibling_fold(spark, sf):
     """The fold over all versions of each key."""
     left = versions.folded(w1(spark, sf).select("key", "seq", "clock"))
     seqs = F.array_sort(F.collect_list("seq"))
@@ -239,6 +228,14 @@ def drain_condition(spark, sf):
     return table(spark, sf, "supplier").select(i.alias("id"), membership.drained(i % 2 == 0, i % 3 == 0, F.array(i % 5, i % 7), F.lit(2)).alias("drained"))
 
 
+@query(
+    """WITH g AS (SELECT s, e, c, desired, e + CASE WHEN c <> 0 THEN 1 ELSE 0 END AS ec FROM range(1, 7) AS a(s), range(1, 7) AS b(desired), (VALUES (0), (2)) AS d(e), (VALUES (-1), (0), (1)) AS f(c) WHERE s + c > 0)
+SELECT CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(c AS BIGINT) AS c, CAST(desired AS BIGINT) AS desired,
+ CASE WHEN c = 1 THEN 'ScaleStatefulSet' WHEN c = -1 THEN 'Wait' WHEN s < desired THEN 'WriteConfigMap' WHEN s > desired THEN 'PostMembership' ELSE 'None' END AS action,
+ CASE WHEN c = -1 THEN 'Degraded' WHEN c = 1 OR s <> desired THEN 'Scaling' ELSE 'Ready' END AS phase,
+ CASE WHEN c = 1 THEN 'AddingPod' WHEN c = -1 THEN 'UnexplainedDivergence' WHEN s < desired THEN 'AddingPod' WHEN s > desired THEN 'RemovingPod' ELSE 'Ready' END AS reason,
+ CAST(CASE WHEN c = 0 AND s <> desired THEN ec + 1 END AS BIGINT) AS to_epoch, CAST(CASE WHEN c = 1 THEN s + 1 WHEN c = 0 AND s < desired THEN s + 1 WHEN c = 0 AND s > desired THEN s - 1 END AS BIGINT) AS to_size FROM g"""
+)
 def planner_decisions(spark, sf) -> DataFrame:
     """The planner over a grid of sizes, wishes and epochs, a row for each; its cases are in the tests."""
     grid = spark.sql("select s, d, e, c from (select explode(sequence(1, 6)) s), (select explode(sequence(1, 6)) d), (select explode(array(0, 2)) e), (select explode(array(-1, 0, 1)) c)").filter("s + c > 0")
@@ -252,4 +249,4 @@ def planner_decisions(spark, sf) -> DataFrame:
         F.struct((F.col("e") + F.when(F.col("c") != 0, 1).otherwise(0)).cast("long").alias("epoch"), wanted(F.col("s") + F.col("c")).alias("members"), F.lit(None).cast("string").alias("invalid")).alias("cm"),
         F.transform(F.sequence(F.lit(0), F.col("s") - 1), pod).alias("pods"), F.sequence(F.lit(0), F.col("s") - 1).alias("pvcs"),
     )
-    return membership.plan(obs).select("s", "e", "c", "desired", "action", "phase", "reason", "to_epoch", "to_size")
+    return bigint(membership.plan(obs).select("s", "e", "c", "desired", "action", "phase", "reason", "to_epoch", "to_size"))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlens.functions.hashes import fingerprint_py
 from quorumlens.functions.scalars import detection_ns, duration_ns_py, key_name, recovery_ns, rfc3339_ns
 from quorumlens.operators.chaos import Topology
 
@@ -40,13 +41,17 @@ def readbacks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def topology(text: str) -> Topology:
-    """A topology document: members with zones, the quorum, and timing."""
+    """A topology document: members with zones, the quorum, and timing; one whose fingerprint is of another ring is refused."""
     told = json.loads(text)
     t = told["timing"]
     beat, wait = duration_ns_py(t["heartbeatInterval"]), duration_ns_py(t["heartbeatTimeout"])
     zones = {p["id"]: p["zone"] for p in told["pods"]}
     if len(zones) != len(told["pods"]):
         raise ValueError("a member is listed twice")
+    if "fingerprint" in told:
+        want = fingerprint_py({p["id"]: p["address"] for p in told["pods"]}, told["n"])
+        if told["fingerprint"] != want:
+            raise ValueError(f"fingerprint {told['fingerprint']!r}, but these members give {want!r}: the ring is not the one built here")
     return Topology(zones, told["n"], told["w"], told["r"], detection_ns(beat, wait, t["maxMissedHeartbeats"]), recovery_ns(duration_ns_py(t["maxReconnectBackoff"]), beat, wait))
 
 

@@ -3,22 +3,71 @@
 from __future__ import annotations
 
 import json
+import zlib
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlens.operators import chaos
 
 
 def write_layer(df: DataFrame, path: str, key: str = "key", order: str = "seq", expected_keys: int = 1_000_000) -> None:
-    """An immutable layer: range-partitioned and sorted by key, newest sibling first, with a bloom filter on the key."""
+    """An immutable layer: range-partitioned and sorted by key, newest sibling first, with a bloom filter on the key; nothing is no layer."""
+    if df.isEmpty():
+        raise ValueError("a layer has at least one entry")
     out = df.repartitionByRange(key).sortWithinPartitions(key, F.desc(order))
     out.write.mode("errorifexists").option("parquet.bloom.filter.enabled#" + key, "true").option("parquet.bloom.filter.expected.ndv#" + key, str(expected_keys)).parquet(path)
 
 
 def append_manifest(df: DataFrame, path: str) -> None:
     """(seq, op, id) rows in one commit."""
-    df.select("seq", "op", "id").coalesce(1).write.mode("append").parquet(path)
+    df.select(F.col("seq").cast("long").alias("seq"), "op", "id").coalesce(1).write.mode("append").parquet(path)
+
+
+def register(spark: SparkSession, manifest: str, added: list[str], removed: list[str]) -> None:
+    """Register layers and retire others in one commit of the manifest: readers see all of it or nothing."""
+    last = spark.read.parquet(manifest).agg(F.max("seq")).first()[0] if exists(spark, manifest) else None
+    ops = [("ADD", i) for i in added] + [("REMOVE", i) for i in removed]
+    append_manifest(spark.createDataFrame([((last or 0) + n, op, i) for n, (op, i) in enumerate(ops, 1)], "seq long, op string, id string"), manifest)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def append_log(entries: DataFrame, path: str, segment: str = "segment", order: str = "seq") -> DataFrame:
+    """Write entries (segment, seq, json) as log segments, a file each: length, CRC-32 and payload of every record, in order.
+
+    Returns (segment, records). A segment is a bounded file that one task writes in one go; a task that runs again writes
+    the same bytes under the same name.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        bodies = [j.encode() for _, j in sorted(zip(rows.column(order).to_pylist(), rows.column("json").to_pylist(), strict=True))]
+        system, at = fs.FileSystem.from_uri(path)
+        system.create_dir(at, recursive=True)
+        with system.open_output_stream(f"{at}/wal_{number:020d}.log") as out:
+            for body in bodies:
+                out.write(len(body).to_bytes(4, "big") + zlib.crc32(body).to_bytes(4, "big") + body)
+        return pa.table({"segment": pa.array([number], pa.int64()), "records": pa.array([len(bodies)], pa.int64())})
+
+    given = entries.select(F.col(segment).cast("long").alias("segment"), F.col(order).cast("long").alias(order), "json")
+    return given.groupBy("segment").applyInArrow(run, "segment long, records long")
+
+
+def drop_segments(spark: SparkSession, path: str, through: int) -> None:
+    """Delete the log segments up to one whose entries are in a layer."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(at):
+        name = status.getPath().getName()
+        number = 0 if name == "wal.log" else int(name[4:24]) if name.startswith("wal_") else None
+        if number is not None and number <= through:
+            files.delete(status.getPath(), False)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

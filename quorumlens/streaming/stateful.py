@@ -90,18 +90,23 @@ def visible(spark, path: str) -> DataFrame:
 
 
 def hint_state(changes: DataFrame) -> DataFrame:
-    """A stream of hints and deliveries (target, key, clock, delivered) as each target's pending count after every change."""
-    out = "target string, pending int"
+    """A stream of hints and deliveries (target, key, clock, delivered) as the pending count of each target's key after every change.
+
+    State is held by target and key, so a target with very many hints is dealt to many tasks; a target's own count is the
+    sum over its keys of the last pending.
+    """
+    out = "target string, key string, pending int"
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
+        held = json.loads(state.get[0]) if state.exists else []  # clocks of one key
         for c in pd.concat(list(frames)).itertuples(index=False):
             clock = {k: int(v) for k, v in dict(c.clock).items()}
-            if c.delivered:
-                held = [h for h in held if not (h[0] == c.key and covers(clock, h[1]))]
-            elif not any(h[0] == c.key and covers(h[1], clock) for h in held):
-                held = [h for h in held if not (h[0] == c.key and covers(clock, h[1]))] + [[c.key, clock]]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame([(key[0], len(held))], columns=["target", "pending"])
-
-    return changes.groupBy("target").applyInPandasWithState(keep, out, "held string", "update", GroupStateTimeout.NoTimeout)
+            if c.delivered or not any(covers(h, clock) for h in held):
+                held = [h for h in held if not covers(clock, h)] + ([] if c.delivered else [clock])
+        if held:
+            state.update((json.dumps(held),))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, len(held))], columns=["target", "key", "pending"])
+
+    return changes.groupBy("target", "key").applyInPandasWithState(keep, out, "held string", "update", GroupStateTimeout.NoTimeout)
