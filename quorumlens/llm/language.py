@@ -115,6 +115,7 @@ def scanned_probabilities(scores: np.ndarray, lens: np.ndarray, moves: np.ndarra
     a = np.exp(moves - moves.max())
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
     first = np.r_[0, np.cumsum(lens)[:-1]]
+    e[first] /= a.sum(axis=0)  # no move comes before the first word: this undoes the step from nowhere below
     order = np.argsort(-lens, kind="stable")
     many = np.searchsorted(-lens[order], -np.arange(int(lens.max())), side="left")  # texts with more than t words
     forward, x = np.empty_like(e), np.full((n, k), 1 / k)
@@ -144,6 +145,7 @@ def text_probabilities(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray)
     real = np.zeros((len(e), BLOCK), bool)
     at = first[text] + inner // BLOCK, inner % BLOCK
     e[at] = np.exp(scores - scores.max(axis=1, keepdims=True))
+    e[first, 0] /= a.sum(axis=0)  # no move comes before the first word: this undoes the step from nowhere below
     real[at] = True
 
     def step(x, t):  # rows x of blocks over place t, unchanged where a block has ended
