@@ -39,7 +39,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and any executor can read it again."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more: what was derived of them must be written itself."""
+    for df in tables:
+        remove(df.sparkSession, df.written_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -37,7 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = spark.read.schema("a long, b long").parquet(path)
         told = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(told) == seen or not told[0]:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            out = now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            out.written_at = path  # for forget()
+            return out
         seen = tuple(told)
         for large in (True, False):
             was, path = path, new_path(spark, "links")

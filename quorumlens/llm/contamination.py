@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import ascii_lower, materialise, quoted, table
+from quorumlens.llm.common import ascii_lower, forget, materialise, quoted, table
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z are lowered.
@@ -98,7 +98,9 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame,
     if not spans:
         return items.select(F.lit(0).cast("long").alias("win"), F.lit(0).cast("long").alias("h"), "item").limit(0), spans
     found = windows(items, spans).filter("span = least(n, 13)")
-    return materialise(found.select("win", "h", "item").distinct(), "item-windows"), spans
+    out = materialise(found.select("win", "h", "item").distinct(), "item-windows")
+    forget(items)
+    return out, spans
 
 
 def bounded(keys: DataFrame) -> DataFrame:
@@ -106,17 +108,20 @@ def bounded(keys: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, spans: list[int], doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text_md5, place, span, win) of the windows of docs that are windows of items."""
+    """(doc_id, text_md5, place, span, win) of the windows of docs that are windows of items; a written table."""
     body = F.col(quoted(text))
     rows = docs.filter(body.isNotNull()).select(F.col(quoted(doc_id)).alias("doc_id"), F.md5(body).alias("text_md5"), body.alias("text"))
-    fingerprints, wins = bounded(materialise(items.select("h").distinct(), "fingerprints")), bounded(materialise(items.select("win").distinct(), "windows"))
+    tables = [materialise(items.select(c).distinct(), c) for c in ("h", "win")]
+    fingerprints, wins = map(bounded, tables)
     # first the documents with any fingerprint in common, then the windows of those alone
     every = exploded(with_grams(hashed(rows)), [prints(span) for span in spans], "h")
     met = materialise(every.join(fingerprints, "h", "left_semi").select("doc_id", "text_md5").distinct(), "met")
     if met.count() <= FEW_HASHES:  # else every document's windows are looked at, which costs less than moving the texts
         rows = rows.alias("a").join(F.broadcast(met).alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_md5 = b.text_md5"), "left_semi")
     found = windows(hashed(rows), spans).join(fingerprints, "h", "left_semi").join(wins, "win", "left_semi")
-    return found.select("doc_id", "text_md5", "place", "span", "win").distinct()
+    out = materialise(found.select("doc_id", "text_md5", "place", "span", "win").distinct(), "occurrences")
+    forget(*tables, met)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -126,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     nothing = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     if not spans:
         return rows.withColumns(nothing).withColumn("contaminated", F.lit(False))
-    met = materialise(occurrences(docs, items, spans, doc_id, text), "occurrences")
+    met = occurrences(docs, items, spans, doc_id, text)
     # words in the union of a document's windows, one after another by place
     run = Window.partitionBy("doc_id", "text_md5").orderBy("place", "span").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("place") + F.col("span")
@@ -138,19 +143,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     same = "a.doc_id <=> b.doc_id and a.text_md5 = b.text_md5"
     found = hits.alias("a").join(names.alias("b"), F.expr(same)).select("a.*", "b.n_items", "b.items_sha256")
     found = materialise(found, "contamination")
+    forget(items, met)
     out = rows.alias("a").join(found.alias("b"), F.expr(same), "left").select("a.*", *[F.coalesce(F.col(f"b.{c}"), zero).alias(c) for c, zero in nothing.items()])
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def repeated(df: DataFrame, copies: str, block: int = 4096) -> DataFrame:
-    """Each row as often as copies says; a row of very many copies is dealt out in blocks of them."""
-    n = F.col(copies).cast("long")
-    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))))
-    blocks = blocks.repartition("_block", *[F.col(quoted(c)) for c in df.columns[:2]])
-    size = F.least(F.lit(block).cast("long"), n - F.col("_block") * block)
-    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("_copy", "_block", copies)
-
-
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_md5")
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import ascii_lower, materialise, quoted, table
+from quorumlens.llm.common import ascii_lower, forget, materialise, quoted, table
 
 # Notices by which works commonly name their licence, by family.
 TEMPLATES = {
@@ -234,7 +234,7 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def families(docs: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray, float], *, doc_id: str, text: str, least: float) -> DataFrame:
-    """(doc_id, text_hash, line, family, probability) of the paragraphs that have a family."""
+    """(doc_id, text_hash, line, family, probability) of the paragraphs that have a family; a written table."""
     spark = docs.sparkSession
     weights, offset, heat = model
     k = len(offset)
@@ -261,12 +261,14 @@ def families(docs: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray, fl
     by = by.withColumn("best", best).withColumn("probability", F.col("best") / F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     by = by.filter((F.col("best") >= F.element_at("e", k)) & (F.col("probability") >= least))
     by = by.withColumn("family", F.element_at(F.lit(FAMILIES), F.array_position("e", F.col("best")).cast("int")))
-    return by.select("doc_id", "text_hash", "line", "family", "probability").dropDuplicates(["doc_id", "text_hash", "line"])
+    out = materialise(by.select("doc_id", "text_hash", "line", "family", "probability").dropDuplicates(["doc_id", "text_hash", "line"]), "families")
+    forget(known)
+    return out
 
 
 def licence_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, confirmed: float = CONFIRMED) -> DataFrame:
     """Every paragraph with a family: doc_id, text_hash, line, family, probability, similarity, confirmed; repeated rows count once."""
-    found = materialise(families(docs, train(sampled(docs, text)), doc_id=doc_id, text=text, least=least), "families")
+    found = families(docs, train(sampled(docs, text)), doc_id=doc_id, text=text, least=least)
     few = found.count() <= FEW
     spark = docs.sparkSession
     shapes = spark.createDataFrame([(f, [g for g in ngrams_of(t) if g.count(" ") == 1]) for f in FAMILIES for t in TEMPLATES[f]], "family string, pairs array<string>")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import WORD, materialise, quoted, table
+from quorumlens.llm.common import WORD, forget, materialise, quoted, table
 
 RANGE_BITS, KEY_BITS = 12, 60
 #: A range of more rows than this is cut into ranges again before it is sorted.
@@ -70,18 +70,21 @@ def cuts(narrow: DataFrame, weights: tuple[float, ...], share: float, most: floa
     ranges = materialise(summed(narrow, bits), "ranges")
     wanted = materialise(targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     ends, there = materialise(ended(ranges, wanted), "ends"), narrow
+    steps = [ranges, wanted, ends]
     while True:
         there = there.withColumn("part", part(bits)).drop("rest").alias("a").join(ends.alias("b"), F.expr("a.source <=> b.source and a.part = b.part"))
         there = there.select("a.source", "key", "a.size", "rest")
         if bits >= KEY_BITS or (ends.agg(F.max("n")).first()[0] or 0) <= RANGE_ROWS:
             break
         bits, there = bits + RANGE_BITS, materialise(there, "open-range")
-        ends = materialise(ended(summed(there, bits), ends), "ends")
+        steps += [there, ends := materialise(ended(summed(there, bits), ends), "ends")]
     keys = there.groupBy("source", "key", "rest").agg(F.sum("size").alias("size"), F.count("*").alias("copies"))
     run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     keys = keys.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0))).filter("before <= rest and rest < before + size")
     keys = keys.select("source", F.col("key").alias("cut_key"), (F.col("rest") - F.col("before")).alias("cut_left"), F.col("copies").alias("cut_copies"))
-    return materialise(wanted.alias("a").join(keys.alias("b"), F.expr("a.source <=> b.source"), "left").select("a.*", "cut_key", "cut_left", "cut_copies").drop("rest"), "cuts")
+    out = materialise(wanted.alias("a").join(keys.alias("b"), F.expr("a.source <=> b.source"), "left").select("a.*", "cut_key", "cut_left", "cut_copies").drop("rest"), "cuts")
+    forget(*steps)
+    return out
 
 
 def with_size(df: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -111,7 +114,9 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: st
     """The mixed corpus itself: a row of df for each epoch that takes it, the text at a cut shortened to the words taken."""
     sized = with_size(df, doc_id, text, source)
     narrow = materialise(sized.select(F.col("__ql_source").alias("source"), F.col("__ql_key").alias("key"), F.col("__ql_size").alias("size")), "sizes")
-    out = with_cut(sized, cuts(narrow, weights, share, most)).withColumns({"__ql_full": F.expr(FULL), "__ql_words": F.expr(PARTIAL)})
+    cut = cuts(narrow, weights, share, most)
+    forget(narrow)
+    out = with_cut(sized, cut).withColumns({"__ql_full": F.expr(FULL), "__ql_words": F.expr(PARTIAL)})
     out = out.withColumn("__ql_turns", F.col("__ql_full") + F.when(F.col("__ql_words") > 0, 1).otherwise(0)).filter("__ql_turns > 0")
     out = out.withColumn("__ql_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__ql_turns"))))
     body = F.col(quoted(text))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlens.llm.common import materialise, new_path, quoted, remove, table
+from quorumlens.llm.common import forget, materialise, new_path, quoted, remove, table
 
 ORDER, SYMBOL_BITS = 5, 12
 SYMBOLS_IN_ALL = 1 << SYMBOL_BITS
@@ -145,12 +145,14 @@ def fit(docs: DataFrame, folder: str, text: str = "text") -> list[dict]:
     out: list[dict] = []
     for k in range(ORDER, 0, -1):
         if k < ORDER:  # a lower n-gram's count is the number of symbols seen before it
-            level = materialise(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << k * SYMBOL_BITS) - 1)).alias("gram")).agg(F.count("*").alias("n")), f"grams-{k}")
+            upper, level = level, materialise(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << k * SYMBOL_BITS) - 1)).alias("gram")).agg(F.count("*").alias("n")), f"grams-{k}")
+            forget(upper)
         taken = discounts(*level.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first())
         mass = F.sum(F.element_at(F.lit([float(x) for x in taken]), (F.least(F.col("n"), F.lit(3)) + 1).cast("int")))
         contexts = level.groupBy(F.shiftright("gram", SYMBOL_BITS).alias("key")).agg(F.sum("n").alias("total"), mass.alias("mass"))
         known = {"taken": taken, "grams": stored(level.withColumnRenamed("gram", "key"), ["n"], f"{folder}/grams-{k}"), "contexts": stored(contexts, ["total", "mass"], f"{folder}/contexts-{k}")}
         out.insert(0, known)
+    forget(level)
     return out
 
 
