@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlens.llm.common import materialise, quoted, table
+from quorumlens.llm.common import forget, materialise, quoted, table
 from quorumlens.llm.components import components
 
 SEED, BITS, SHINGLE, MOST = 42, 64, 3, 3
@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    of = materialise(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+    forget(nodes, rooted, roots)
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -172,7 +173,10 @@ FEW = 300_000
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each component: that with the smallest id (null last), of equal ids that whose text has the least MD5."""
+    """One row of docs for each component: that with the smallest id (null last), of equal ids that whose text has the least MD5.
+
+    Of rows equal in id and text but not in other columns, that with the least hash of all of them stays, so reruns agree.
+    """
     own = {"__ql_none": F.col(quoted(doc_id)).isNull(), "__ql_id": F.col(quoted(doc_id)), "__ql_md5": F.coalesce(F.md5(F.col(quoted(text))), F.lit(""))}
     marked = docs.withColumns(own)
     found = near_duplicates(marked.withColumn("__ql_mark", F.struct(*own)), doc_id="__ql_mark", text=text)
@@ -180,10 +184,12 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     marks = materialise(marks.select(F.col("doc_id.__ql_id").alias("__ql_i"), F.col("doc_id.__ql_md5").alias("__ql_m"), (F.col("doc_id") == F.col("component_id")).alias("kept"), "n"), "marks")
     dropped, again = marks.filter("not kept").select("__ql_i", "__ql_m"), marks.filter("kept and n > 1").select("__ql_i", "__ql_m")
     out = marked.join(bounded(dropped), F.expr("__ql_id <=> __ql_i and __ql_md5 = __ql_m"), "left_anti")
-    if again.limit(1).count():  # rows equal in id and text: one of them stays
-        again = bounded(again)
-        twice = out.join(again, F.expr("__ql_id <=> __ql_i and __ql_md5 = __ql_m"), "left_semi").dropDuplicates(["__ql_id", "__ql_md5"])
-        out = out.join(again, F.expr("__ql_id <=> __ql_i and __ql_md5 = __ql_m"), "left_anti").unionByName(twice)
+    if again.limit(1).count():  # rows equal in id and text: one of them stays, that with the least hash of all its columns
+        again, columns = bounded(again), [F.col(quoted(c)) for c in docs.columns]
+        same = F.expr("__ql_id <=> __ql_i and __ql_md5 = __ql_m")
+        plain = [F.to_json(F.struct(c)) if isinstance(f.dataType, T.MapType) else c for c, f in zip(columns, docs.schema, strict=True)]
+        twice = out.join(again, same, "left_semi").groupBy("__ql_id", "__ql_md5").agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias("r"))
+        out = out.join(again, same, "left_anti").select(*columns).unionByName(twice.select("r.*"))
     return out.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
