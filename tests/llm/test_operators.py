@@ -472,6 +472,67 @@ def test_every_language_is_learned(spark):
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
 
 
+def brute_language(text, names, weights, moves):
+    """Label and score of a short text: hashes by plain integers, and marginals by listing every sequence of labels."""
+    from itertools import product
+
+    whole, prime, bits = 1 << 64, 0x100000001B3, len(weights).bit_length() - 1
+
+    def slot(h):
+        h = h * 0x9E3779B97F4A7C15 % whole
+        h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % whole
+        return h >> (64 - bits)
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    scores = []
+    for w in words:
+        c = [2, *map(ord, w), 3]
+        own = []
+        for n in range(2, 6):
+            for i in range(len(c) - n + 1):
+                if n <= 3 or i == 0 or i + n == len(c):
+                    gram = 0
+                    for x in c[i : i + n]:
+                        gram = (gram * prime + x) % whole
+                    own.append(slot((gram * 8 + n) % whole))
+        own.append(slot(sum(x * pow(prime, min(i, 63), whole) + 7 for i, x in enumerate(c)) * 8 % whole))
+        scores.append(sum(weights[f].astype(float) for f in own))
+    total = np.zeros((len(words), len(names)))
+    for path in product(range(len(names)), repeat=len(words)):
+        p = np.exp(sum(scores[i][k] for i, k in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)))
+        for i, k in enumerate(path):
+            total[i, k] += p
+    mean = (total / total.sum(axis=1, keepdims=True)).mean(axis=0)
+    return names[int(mean.argmax())], mean.max()
+
+
+def test_labels_by_hand(spark):
+    """Whole predictions of short texts against an independent field over plain integers."""
+    rows = table(spark, SF, "documents").filter("lang is not null and n_chars between 200 and 3000").select("text", "lang").limit(300).collect()
+    names, weights, moves = language.train([r.text for r in rows], [r.lang for r in rows])
+    texts = [" ".join(r.text.split()[i : i + 1 + n % 5]) for n, r in enumerate(rows[:60]) for i in (0, 20)]
+    texts = [t for t in texts if re.search(r"[^\W\d_]", t)] + ["a", "Überzeugung naïve", rows[0].text.split()[0] + " " + rows[-1].text.split()[0]]
+    got = language.predict(iter(texts), names, weights, moves)
+    for t, (name, score) in zip(texts, got, strict=True):
+        want, p = brute_language(t, names, weights, moves)
+        assert score == pytest.approx(p, abs=1e-5) and (name == want or abs(p - score) < 1e-5)
+
+
+def test_learning_is_repeatable(spark, monkeypatch):
+    """The same sample, of whole texts only, however the rows are dealt; a language of long texts only takes its shortest."""
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 2000)
+    monkeypatch.setattr(language, "LEAST_CHARS", 300)
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randrange(5, 40)) for _ in range(200)] + [prose(rng, 4000), prose(rng, 3000)]
+    df = docs(spark, texts, langs=("en", "de", None)).withColumn("lang", F.expr("case when doc_id >= 200 then 'long' else lang end"))
+    of = lambda d: language.sample(d, F.col("doc_id"), F.col("text"), F.col("lang"))
+    first = of(df)
+    assert of(df.repartition(9, "text")) == first == of(df.unionByName(df).orderBy(F.rand(2)))
+    assert set(first[0]) <= set(texts) and set(first[1]) == {"en", "de", "long"} and [t for t, name in zip(*first, strict=True) if name == "long"] == [min(texts[200:], key=len)]
+    with pytest.raises(ValueError, match="clash"):
+        language.languages(df, F.lit(True), keep=("doc_id", "score"))
+
+
 def test_scan_is_the_blocks(monkeypatch):
     rng = np.random.default_rng(1)
     lens, moves = np.array([1, 5, 32, 33, 100, 7, 100]), rng.normal(size=(20, 20))
@@ -489,7 +550,7 @@ def test_forward_backward_over_blocks():
     for i, n in enumerate(lens):
         e, a, f, forward = np.exp(scores[at : at + n]), np.exp(moves), np.full(3, 1 / 3), []
         for t in range(n):
-            f = (f @ a) * e[t]
+            f = (f @ a if t else f) * e[t]  # as in training, no move comes before the first word
             forward.append(f := f / f.sum())
         back, total = np.full(3, 1 / 3), 0
         for t in range(n - 1, -1, -1):
@@ -593,6 +654,12 @@ def test_equal_rows_and_null_ids_keep_one(spark):
     assert [r.doc_id for r in simhash.keep_first(docs(spark, ["x y z"] * 2, ids=[None, None])).collect()] == [None]
 
 
+def test_rows_equal_in_id_and_text_keep_the_same_one(spark):
+    rows = [(1, "a b c d", f"l{i}", f"s{i}", 7, 0.5, "x", i) for i in range(20)]
+    a, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows[::-1], SCHEMA).repartition(5, "h")
+    assert simhash.keep_first(a).collect() == simhash.keep_first(b).collect() and simhash.keep_first(a).count() == 1
+
+
 def test_components_of_chains(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(1, 60)] + [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(50)] + [(7, 7), (2, 1)]
