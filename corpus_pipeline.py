@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlens.llm import contamination, language, mixing, sharding, simhash
-from quorumlens.llm.common import materialise, table
+from quorumlens.llm.common import forget, materialise, table
 
 #: The mean probability of its words' language that a document needs.
 LEAST_LANGUAGE = 0.5
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs, name)
+            if before is not None:
+                forget(before)  # the next stage reads this one's table
+            before = docs
     return docs
