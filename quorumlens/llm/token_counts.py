@@ -8,7 +8,8 @@ only make pairs of higher ranks. A very long sequence goes through the same roun
 its pairs' places by rank, so a round costs as much as it merges.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); ids are passed on as they are,
-null or repeated; an empty table gives an empty table; columns named like a result are replaced.
+null or repeated; a text of any length is counted whole, in parts of bounded size; an empty table gives
+an empty table; other columns aren't passed on, and a kept one named like a result raises ValueError.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import islice
 
@@ -253,13 +255,15 @@ def merger(path: str) -> RankMerger:
     return RankMerger(path)
 
 
-def token_counts(df: DataFrame, vocabulary: str, text: str = "text", limit: int = 512, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, and n_bytes, n_tokens and over_limit of df's texts under the vocabulary file."""
+def token_counts(df: DataFrame, vocabulary: str | Callable[[], str], text: str = "text", limit: int = 512, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, and n_bytes, n_tokens and over_limit of df's texts under the vocabulary file: its path, or a function that tells it where it is called, on the executors."""
+    if {k.lower() for k in keep} & {"n_bytes", "n_tokens", "over_limit"}:
+        raise ValueError(f"kept columns {keep} clash with the results")
     fields = [T.StructField(k, df.schema[k].dataType) for k in keep]
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches):
-        m = merger(vocabulary)
+        m = merger(vocabulary() if callable(vocabulary) else vocabulary)
         for batch in batches:
             n = m.count(batch.column(len(keep) + 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[f.name for f in schema])
@@ -268,7 +272,11 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", limit: int
     return df.select(*[F.col(quoted(k)) for k in keep], F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("_bytes"), body.alias("_text")).mapInArrow(run, schema)
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_bpe_50k() -> str:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), byte_bpe_50k)
