@@ -13,6 +13,7 @@ from quorumlens.functions import clocks
 from quorumlens.functions.hashes import bucket_for
 from quorumlens.operators.placement import owners_of, shares_replica
 from quorumlens.operators.versions import missing_from, survivors
+from quorumlens.sources.scratch import written
 
 BUCKETS = 16
 
@@ -94,11 +95,12 @@ def exchanged(local: DataFrame, remote: DataFrame, buckets: DataFrame, n: int =
 def reconciled(local: DataFrame, remote: DataFrame, n: int = BUCKETS, item: Column | None = None, shared: tuple[Sequence[str], int, str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Both replicas after a round: each side's versions and what it got, resolved again.
 
-    What is exchanged is small beside the replicas and read several times, so it is persisted; lost parts are computed again.
+    Replicas, and what they exchange, are read several times: each is written once.
     """
+    local, remote = written(local, "local"), written(remote, "remote")
     told = lambda df: leaves(df.withColumn("item", item if item is not None else F.col("item")), n)
-    pull, push = exchanged(local, remote, divergent(told(local), told(remote)), n, shared)
-    return survivors(local.unionByName(pull.persist())), survivors(remote.unionByName(push.persist()))
+    pull, push = exchanged(local, remote, written(divergent(told(local), told(remote)), "divergent"), n, shared)
+    return survivors(local.unionByName(written(pull, "pulled"))), survivors(remote.unionByName(written(push, "pushed")))
 
 
 def quorum_read(responses: DataFrame, r: int, keys: tuple[str, ...] = ("key",)) -> DataFrame:

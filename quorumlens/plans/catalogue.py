@@ -360,7 +360,7 @@ def missing_from_push(spark, sf):
 SELECT (SELECT count(*) FROM ma) AS local, (SELECT count(*) FROM mb) AS remote, (SELECT count(*) FROM (SELECT key, seq FROM ma EXCEPT SELECT key, seq FROM mb)) + (SELECT count(*) FROM (SELECT key, seq FROM mb EXCEPT SELECT key, seq FROM ma)) AS different"""
 )
 def reconciled_equals(spark, sf):
-    a, b = reconcile.reconciled(replica(spark, sf, 7).persist(), replica(spark, sf, 5).persist())
+    a, b = reconcile.reconciled(replica(spark, sf, 7), replica(spark, sf, 5))
     sides = a.select("key", "seq", F.lit(1).alias("side")).unionByName(b.select("key", "seq", F.lit(2).alias("side")))
     each = sides.groupBy("key", "seq").agg(F.count_if(F.col("side") == 1).alias("l"), F.count_if(F.col("side") == 2).alias("r"))
     return each.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("local"), F.coalesce(F.sum("r"), F.lit(0)).alias("remote"), F.count_if((F.col("l") == 0) | (F.col("r") == 0)).alias("different"))

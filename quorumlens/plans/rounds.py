@@ -8,6 +8,7 @@ from quorumlens.functions import hashes, scalars
 from quorumlens.operators import chaos, config, delivery, membership, placement, reconcile, telemetry
 from quorumlens.plans.catalogue import HINTED, ORDER_KEY, PODS, SEVEN, TOPOLOGY, bigint, deduped, fnv, handed, keys, maximal, order_keys, placed, query, replica, replica_sql, ring, table, uncovered, w1
 from quorumlens.plans.fixtures import fixture, with_clause
+from quorumlens.sources import scratch
 
 # Reconciliation and reads
 
@@ -20,7 +21,7 @@ SELECT 'pulled' AS direction, key, seq FROM ({uncovered('ra', 'rb')}) WHERE key
 )
 def reconciled_owned(spark, sf):
     """What kv-0 and kv-5 exchange of the keys that both own."""
-    a, b = replica(spark, sf, 7), replica(spark, sf, 5)
+    a, b = (scratch.written(replica(spark, sf, skip), "replica") for skip in (7, 5))
     pull, push = reconcile.exchanged(a, b, reconcile.divergent(reconcile.leaves(a), reconcile.leaves(b)), shared=(PODS, 3, "kv-0", "kv-5"))
     told = lambda df, name: df.select(F.lit(name).alias("direction"), "key", "seq")
     return told(pull, "pulled").unionByName(told(push, "pushed"))

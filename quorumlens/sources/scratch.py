@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -23,3 +23,10 @@ def folder(spark: SparkSession, name: str) -> str:
             atexit.register(_own["dir"].cleanup)
         told = f"file://{_own['dir'].name}"
     return f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read back: its lineage ends there, and any executor can read it again."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
