@@ -56,6 +56,18 @@ def duration_ns(text: Column) -> Column:
     return F.when(text.rlike(rf"^[-+]?({part})+$"), F.when(text.startswith("-"), -whole).otherwise(whole)).when(text.isin("0", "+0", "-0"), F.lit(0).cast("long"))
 
 
+def duration_text(ns: Column) -> Column:
+    """A duration as it is written: 1h2m3.5s, 15m0s, 1.5s, 250ms, 7µs, 3ns or 0s; a sign before negative ones."""
+    n = F.abs(ns)
+    trimmed = lambda x: F.regexp_replace(F.regexp_replace(x.cast("string"), r"0+$", ""), r"\.$", "")
+    of = lambda scale: trimmed((n.cast("decimal(28,0)") / F.lit(scale).cast("decimal(28,0)")).cast("decimal(28,9)"))
+    secs = trimmed(((n % 60_000_000_000).cast("decimal(28,0)") / F.lit(1_000_000_000).cast("decimal(28,0)")).cast("decimal(28,9)"))
+    hours, minutes = F.floor(n / 3_600_000_000_000), F.floor(n / 60_000_000_000) % 60
+    long_ = F.concat(F.when(hours > 0, F.concat(hours, F.lit("h"))).otherwise(""), F.when(n >= 60_000_000_000, F.concat(minutes, F.lit("m"))).otherwise(""), secs, F.lit("s"))
+    text = F.when(n == 0, "0s").when(n < 1_000, F.concat(n, F.lit("ns"))).when(n < 1_000_000, F.concat(of(1_000), F.lit("µs"))).when(n < 1_000_000_000, F.concat(of(1_000_000), F.lit("ms"))).otherwise(long_)
+    return F.when(ns < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def duration_ns_py(text: str) -> int:
     found = re.findall(r"([0-9]*\.?[0-9]+)(ns|us|µs|ms|s|m|h)", text)
     if not found or "".join(a + b for a, b in found) != text.lstrip("+-"):

@@ -278,6 +278,18 @@ def listed(requests: DataFrame, readback: DataFrame, order: str = "pass", n: int
     return first_acks(requests).join(latest(readback, order).filter("result in ('notfound', 'mismatch')"), "key").select("key").orderBy("key").limit(n)
 
 
+def short_of_copies(requests: DataFrame, readback: DataFrame, order: str = "pass", n: int = LISTED) -> DataFrame:
+    """The first n acknowledged keys, in order, that fewer than all owners hold, for the report."""
+    last = latest(readback, order).filter("n_owners > 0 and n_holders < n_owners")
+    return first_acks(requests).join(last, "key").select("key", "n_owners", "n_holders").orderBy("key").limit(n)
+
+
+def ordered_marks(events: DataFrame, order: str = "place") -> DataFrame:
+    """Marks of each test numbered by time; equal times stay in their order."""
+    w = Window.partitionBy("test").orderBy("time_ns", order)
+    return events.filter("event = 'mark'").withColumn("number", F.row_number().over(w)).select("test", "mark", "number")
+
+
 def verdict(rows: DataFrame, report: DataFrame) -> DataFrame:
     """One row: violations, and ok if there are none and nothing is lost, unread, unreadable or short of copies."""
     bad = rows.agg(F.count_if(F.col("bucket").isin(VIOLATIONS)).alias("violations"))

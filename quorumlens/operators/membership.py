@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlens.functions.hashes import fingerprint
+
 MEMBERSHIP = "struct<epoch:bigint,members:map<string,string>,handoff_epoch:bigint,handoff_done:boolean>"
 OBSERVATION = (
     "cluster string, namespace string, now_s long, desired int, grace_s long, drain_timeout_s long, drain_started_s long, prev_phase string, "
@@ -147,6 +149,32 @@ def plan(obs: DataFrame) -> DataFrame:
     return d.select(*obs.columns, "__d.*", started.alias("drain_started"))
 
 
+VIEW = "epoch long, n int, members map<string,string>, fingerprint string"
+
+
+def loaded(files: DataFrame, text: str = "text") -> DataFrame:
+    """Persisted views (JSON text, a row each) with their fields and a problem: not readable, or with a fingerprint of other members."""
+    told = files.withColumn("v", F.from_json(text, VIEW))
+    bad = F.col("v.members").isNull() | F.col("v.epoch").isNull()
+    foreign = F.col("v.fingerprint") != fingerprint(F.col("v.members"), F.col("v.n"))
+    return told.withColumn("problem", F.when(bad, "unreadable").when(F.coalesce(foreign, F.lit(True)), "another ring's fingerprint")).select(*files.columns, "v.*", "problem")
+
+
+def persisted(views: DataFrame) -> DataFrame:
+    """views (epoch, n, members) with text, what is kept of them on disk."""
+    return views.withColumn("text", F.to_json(F.struct("epoch", "n", "members", fingerprint(F.col("members"), F.col("n")).alias("fingerprint"))))
+
+
+def peer_states(pings: DataFrame, misses: int = 3) -> DataFrame:
+    """By observer and peer of pings (seq, ok): reachable if the last was answered, alive unless the last misses in a row failed."""
+    last_ok = F.max(F.when(F.col("ok"), F.col("seq")))
+    by = pings.groupBy("observer", "peer").agg(last_ok.alias("__ok"), F.max("seq").alias("__last"))
+    after = pings.join(by, ["observer", "peer"]).filter(F.col("__ok").isNull() | (F.col("seq") > F.col("__ok")))
+    missed = after.groupBy("observer", "peer").agg(F.count("*").alias("missed"))
+    out = by.join(missed, ["observer", "peer"], "left").withColumn("missed", F.coalesce("missed", F.lit(0).cast("long")))
+    return out.select("observer", "peer", "missed", (F.col("missed") == 0).alias("reachable"), (F.col("missed") < misses).alias("alive"))
+
+
 def _any(conditions: list[Column]) -> Column:
     out = F.lit(False)
     for c in conditions:

@@ -93,3 +93,17 @@ def shares_replica(owners, a, b):
 def first_live(owners, dead):
     """The first owner, in order of preference, that isn't dead; null if all are."""
     return F.get(F.filter(owners, lambda o: ~F.array_contains(dead, o)), F.lit(0))
+
+
+def without_self(owners, node):
+    """A node's peers for a key, in order of preference, and whether it is one of the owners itself."""
+    return F.filter(owners, lambda o: o != node), F.array_contains(owners, node)
+
+
+def views(sizes: DataFrame, members: str = "members", n: int = 3, vnodes: int = VNODES) -> DataFrame:
+    """sizes (members: array of ids) with the ring that a view of them builds: positions taken, and those of the smallest and largest."""
+    names = F.explode(F.transform(members, lambda m: F.struct(m.alias("m"), F.sequence(F.lit(0), F.lit(vnodes - 1)).alias("i"))))
+    keys = [c for c in sizes.columns if c != members]
+    each = sizes.select(*keys, names.alias("x")).select(*keys, "x.m", F.explode("x.i").alias("i"))
+    at = each.withColumn("pos", fnv1a32(F.concat("m", F.lit("-"), "i")))
+    return at.groupBy(*keys).agg(F.count_distinct("pos").alias("positions"), F.min("pos").alias("lowest"), F.max("pos").alias("highest"))

@@ -99,6 +99,17 @@ def metric_samples(spark: SparkSession, paths: str | list[str], labels: list[str
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(paths).withColumn("time_us", F.unix_micros(F.to_timestamp("time")))
 
 
+PROMETHEUS = "status string, data struct<resultType:string, result:array<struct<metric:map<string,string>, values:array<array<string>>, value:array<string>>>>"
+
+
+def prometheus(answers: DataFrame, text: str = "text") -> DataFrame:
+    """(metric map, time_us, value) of answers to range and instant queries, a JSON document a row; any that isn't a success fails the job."""
+    told = answers.select(F.from_json(text, PROMETHEUS).alias("a"))
+    good = F.when(F.col("a.status") == "success", F.col("a.data.result")).otherwise(F.raise_error(F.lit("a query failed")).cast("array<struct<metric:map<string,string>, values:array<array<string>>, value:array<string>>>"))
+    series = told.select(F.explode(good).alias("s")).select("s.metric", F.explode(F.coalesce("s.values", F.array("s.value"))).alias("p"))
+    return series.select("metric", F.round(F.col("p")[0].cast("double") * 1_000_000).cast("long").alias("time_us"), F.col("p")[1].cast("double").alias("value"))
+
+
 def hint_counters(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", " ")
     rows = spark.read.text(path).filter("value <> ''")

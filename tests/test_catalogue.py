@@ -3,7 +3,7 @@
 import pytest
 from harness import compare
 
-from quorumlens.plans import catalogue, files, more, rounds  # noqa: F401  each registers its queries
+from quorumlens.plans import catalogue, files, members, more, rounds  # noqa: F401  each registers its queries
 
 
 def test_every_query_has_sql():
