@@ -92,3 +92,43 @@ def unreachable_since(observations: DataFrame, pod: str = "uid", order: str = "s
     run = observations.withColumn("__island", F.coalesce(island, F.lit(0)))
     since = F.min(F.when(~F.col("answered"), F.col(now))).over(Window.partitionBy(pod, "__island").orderBy(order))
     return run.withColumn("since", F.when(~F.col("answered"), since)).drop("__island")
+
+
+def latched(writes: DataFrame, failed: Column, by: Sequence[str] = ("engine",), order: str = "seq") -> DataFrame:
+    """writes with outcome: failed at an engine's first storage failure, halted for everything after it, else durable."""
+    first = writes.filter(failed).groupBy(*by).agg(F.min(order).alias("__first"))
+    both = writes.join(if_small(first), list(by), "left")
+    outcome = F.when(F.col(order) > F.col("__first"), "halted").when(F.col(order) == F.col("__first"), "failed").otherwise("durable")
+    return both.withColumn("outcome", outcome).drop("__first")
+
+
+def replicated(items: DataFrame, by: Sequence[str] = ("batch",), order: str = "seq") -> DataFrame:
+    """By batch of items (code: null where an item would be stored): how many are, in order, before the first that isn't, and its code.
+
+    What was stored stays; the batch answers with the code of its first failure, Unavailable only where writes are halted.
+    """
+    first = F.min_by("code", F.when(F.col("code").isNotNull(), F.col(order)))
+    at = F.min(F.when(F.col("code").isNotNull(), F.col(order)))
+    ends = items.groupBy(*by).agg(at.alias("__at"), first.alias("answer"))
+    both = items.join(ends, list(by))
+    return both.groupBy(*by, "answer").agg(F.count_if(F.col("__at").isNull() | (F.col(order) < F.col("__at"))).alias("stored"))
+
+
+# The codes after which a write is forwarded to the next owner.
+PASSED_ON = ["Dead", "Undialable", "Unavailable", "FailedPrecondition"]
+
+
+def forwarded(owners: Column, code_of) -> tuple[Column, Column, Column]:
+    """Which owner answers a forwarded write, in order of preference, its code (null: accepted), and how many were tried; code_of(owner) gives each one's."""
+    each = F.transform(owners, lambda o: F.struct(o.alias("owner"), code_of(o).alias("code")))
+    ends = F.filter(each, lambda x: ~F.coalesce(x["code"].isin(PASSED_ON), F.lit(False)))
+    answer = F.get(ends, F.lit(0))
+    tried = F.when(answer.isNull(), F.size(owners)).otherwise(F.array_position(owners, answer["owner"]).cast("int"))
+    return answer["owner"], F.when(answer.isNull(), "Unavailable").otherwise(answer["code"]), tried
+
+
+def ping_backs(pings: DataFrame, by: Sequence[str] = ("observer", "peer"), order: str = "seq") -> DataFrame:
+    """Inbound pings (kind in) of peers whose last outbound ping (kind out, ok) failed: each is answered by a ping at once."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") == "out", F.col("ok")), ignorenulls=True).over(w)
+    return pings.withColumn("__last", last).filter((F.col("kind") == "in") & ~F.coalesce("__last", F.lit(True))).drop("__last")

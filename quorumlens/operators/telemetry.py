@@ -187,3 +187,23 @@ def around(samples: DataFrame, marks: DataFrame, series: Sequence[str], *, befor
     met = samples.withColumn("span", F.floor(F.col(time) / (lookback_s * us)).cast("long")).join(if_small(points), "span")
     met = met.filter((F.col(time) <= F.col("t")) & (F.col(time) > F.col("t") - lookback_s * us))
     return met.groupBy("mark", *series, "offset_s").agg(F.max_by(value, F.struct(time, order)).alias("value"))
+
+
+def arrivals(stages: DataFrame, start_rate: float) -> DataFrame:
+    """(place, second, arrivals) that a ramp of moves and holds (place, rate, move, hold) plans, a row for each second of each stage."""
+    before = F.coalesce(F.lag("rate").over(Window.orderBy("place")), F.lit(start_rate)).cast("double")
+    told = stages.withColumn("before", before).withColumn("second", F.explode(F.sequence(F.lit(0), F.col("move") + F.col("hold") - 1)))
+
+    def until(t: Column) -> Column:
+        moving = F.least(t, F.col("move")).cast("double")
+        held = F.greatest(t - F.col("move"), F.lit(0)).cast("double")
+        return F.floor(F.col("before") * moving + (F.col("rate") - F.col("before")) * moving * moving / (2 * F.col("move")) + F.col("rate") * held)
+
+    return told.select("place", "second", (until(F.col("second") + 1) - until(F.col("second"))).alias("arrivals"))
+
+
+def run_totals(runs: DataFrame, cpu: str = "cpu") -> DataFrame:
+    """Several load generators as one row: sums of what was dropped, failed and connected, the largest CPU share and the middle one by position."""
+    ordered = F.array_sort(F.collect_list(cpu))  # a row for each generator
+    one = runs.agg(F.sum("dropped").alias("dropped"), F.sum("errors").alias("errors"), F.sum("connects").alias("connects"), ordered.alias("c"))
+    return one.select("dropped", "errors", "connects", F.element_at("c", -1).alias("cpu_max"), F.get("c", (F.floor((F.size("c") + 1) / 2) - 1).cast("int")).alias("cpu_median"))

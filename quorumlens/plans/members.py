@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumlens.functions import hashes, scalars
-from quorumlens.operators import chaos, layers, membership, placement, telemetry, versions
+from quorumlens.operators import chaos, delivery, layers, membership, placement, telemetry, versions
 from quorumlens.plans.catalogue import REQUESTS, bigint, deduped, fnv, maximal, owned_requests, query, replica, replica_sql, requests, table, w1, w2
 from quorumlens.plans.fixtures import fixture, with_clause
 from quorumlens.sources import logs, scratch, sinks
@@ -181,3 +181,65 @@ def bench_report(spark, sf):
     """What a storage benchmark reports: latency quantiles of all samples, and writes for each sync."""
     e = table(spark, sf, "events").groupBy((F.col("user_id") % 4).alias("writers"))
     return e.agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.99), 6).alias("p99"), F.round(telemetry.ratio(F.count("*"), F.count_if(F.col("event_id") % 7 == 0)), 6).alias("writes_per_sync"))
+
+
+# Failures and streams
+
+
+@query("WITH w AS (SELECT concat('kv-', user_id % 6) AS engine, event_id AS seq, event_type = 'error' AND event_id % 97 = 0 AS failed FROM events), f AS (SELECT engine, min(seq) AS first FROM w WHERE failed GROUP BY engine) SELECT engine, CASE WHEN seq > first THEN 'halted' WHEN seq = first THEN 'failed' ELSE 'durable' END AS outcome, count(*) AS n FROM w LEFT JOIN f USING (engine) GROUP BY ALL")
+def halted_writes(spark, sf):
+    writes = table(spark, sf, "events").selectExpr("concat('kv-', user_id % 6) as engine", "event_id as seq", "event_type = 'error' and event_id % 97 = 0 as failed")
+    return delivery.latched(writes, F.col("failed")).groupBy("engine", "outcome").agg(F.count("*").alias("n"))
+
+
+CODES = "CASE WHEN event_id % 53 = 0 THEN 'Unavailable' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'Internal' END"
+
+
+@query(f"WITH i AS (SELECT user_id AS batch, event_id AS seq, {CODES} AS code FROM events), e AS (SELECT batch, min(seq) FILTER (WHERE code IS NOT NULL) AS stop, arg_min(code, seq) FILTER (WHERE code IS NOT NULL) AS answer FROM i GROUP BY batch) SELECT batch, answer, count(*) FILTER (WHERE stop IS NULL OR seq < stop) AS stored FROM i JOIN e USING (batch) GROUP BY ALL")
+def replicated_batches(spark, sf):
+    return delivery.replicated(table(spark, sf, "events").selectExpr("user_id as batch", "event_id as seq", f"{CODES} as code"))
+
+
+FORWARD = "CASE (seq + CAST(substr(o, 4) AS BIGINT)) % 5 WHEN 0 THEN 'Unavailable' WHEN 1 THEN 'FailedPrecondition' WHEN 2 THEN 'Internal' END"
+
+
+@query(
+    f"""{REQUESTS}, t AS (SELECT seq, owners, list_filter(owners, lambda o: coalesce({FORWARD}, 'ok') NOT IN ('Unavailable', 'FailedPrecondition'))[1] AS owner FROM p WHERE op = 'put' AND NOT list_contains(owners, target))
+SELECT seq, owner, CASE WHEN owner IS NULL THEN 'Unavailable' WHEN (seq + CAST(substr(owner, 4) AS BIGINT)) % 5 = 2 THEN 'Internal' END AS code, CAST(CASE WHEN owner IS NULL THEN len(owners) ELSE list_position(owners, owner) END AS BIGINT) AS tried FROM t"""
+)
+def forward_failover(spark, sf):
+    rows = owned_requests(spark, sf).filter((F.col("op") == "put") & ~F.array_contains("owners", F.col("target")))
+    k = lambda o: (F.col("seq") + F.substr(o, F.lit(4)).cast("long")) % 5
+    owner, code, tried = delivery.forwarded(F.col("owners"), lambda o: F.when(k(o) == 0, "Unavailable").when(k(o) == 1, "FailedPrecondition").when(k(o) == 2, "Internal"))
+    return rows.select("seq", owner.alias("owner"), code.alias("code"), tried.cast("long").alias("tried"))
+
+
+@query("WITH p AS (SELECT concat('kv-', user_id % 4) AS observer, concat('kv-', user_id % 7 + 4) AS peer, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'in' ELSE 'out' END AS kind, event_type <> 'error' AS ok FROM events), l AS (SELECT *, last_value(CASE WHEN kind = 'out' THEN ok END IGNORE NULLS) OVER (PARTITION BY observer, peer ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM p) SELECT observer, peer, count(*) AS n FROM l WHERE kind = 'in' AND NOT coalesce(last, true) GROUP BY ALL")
+def ping_backs(spark, sf):
+    pings = table(spark, sf, "events").selectExpr("concat('kv-', user_id % 4) as observer", "concat('kv-', user_id % 7 + 4) as peer", "event_id as seq", "case when event_id % 3 = 0 then 'in' else 'out' end as kind", "event_type <> 'error' as ok")
+    return delivery.ping_backs(pings).groupBy("observer", "peer").agg(F.count("*").alias("n"))
+
+
+@query(f"{with_clause('W1')}, {maximal('s', 'W1')} SELECT key, count(*) AS n, max(seq) AS last FROM s GROUP BY key")
+def late_versions(spark, sf):
+    """Versions that arrive late, after the rest was resolved: merged, they leave what they would have left in time."""
+    log = w1(spark, sf)
+    held = scratch.written(versions.survivors(log.filter("seq % 3 <> 0")), "held")
+    return versions.survivors(held.unionByName(log.filter("seq % 3 = 0"))).groupBy("key").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+@query(
+    f"""{with_clause('STAGES')}, b AS (SELECT *, CAST(coalesce(lag(rate) OVER (ORDER BY place), 50) AS DOUBLE) AS before FROM STAGES), s AS (SELECT *, unnest(range(CAST(move + hold AS BIGINT))) AS second FROM b),
+u AS (SELECT place, second, e, floor(before * least(t, move)::DOUBLE + (rate - before) * least(t, move)::DOUBLE * least(t, move)::DOUBLE / (2 * move) + rate * greatest(t - move, 0)::DOUBLE) AS cum FROM (SELECT *, second + e AS t FROM s, (VALUES (0), (1)) AS v(e)))
+SELECT CAST(place AS BIGINT) AS place, second, CAST(sum(CASE WHEN e = 1 THEN cum ELSE -cum END) AS BIGINT) AS arrivals FROM u GROUP BY place, second"""
+)
+def arrival_plan(spark, sf):
+    return bigint(telemetry.arrivals(fixture(spark, sf, "STAGES"), 50.0))
+
+
+@query("WITH r AS (SELECT s_suppkey % 9 AS dropped, s_suppkey % 5 AS errors, s_suppkey AS connects, CAST(s_suppkey % 23 AS DOUBLE) / 4 AS cpu FROM supplier WHERE s_suppkey <= 42) SELECT CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(connects) AS BIGINT) AS connects, max(cpu) AS cpu_max, list_sort(list(cpu))[(len(list(cpu)) + 1) // 2] AS cpu_median FROM r")
+def run_totals(spark, sf):
+    """Load generators' totals; a run has a few of them."""
+    i = F.col("s_suppkey")
+    runs = table(spark, sf, "supplier").filter(i <= 42).select((i % 9).alias("dropped"), (i % 5).alias("errors"), i.alias("connects"), ((i % 23).cast("double") / 4).alias("cpu"))
+    return bigint(telemetry.run_totals(runs))
