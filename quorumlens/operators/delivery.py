@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +133,31 @@ def ping_backs(pings: DataFrame, by: Sequence[str] = ("observer", "peer"), order
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("kind") == "out", F.col("ok")), ignorenulls=True).over(w)
     return pings.withColumn("__last", last).filter((F.col("kind") == "in") & ~F.coalesce("__last", F.lit(True))).drop("__last")
+
+
+def group_commits(writes: DataFrame, by: str = "engine", order: str = "seq", size: str = "bytes", max_records: int = 1000, max_bytes: int = 1 << 20) -> DataFrame:
+    """writes (engine, seq, bytes), all queued, as the batches that one sync each makes durable: (engine, batch, records, bytes).
+
+    A batch takes the next records in order while there are at most max_records of max_bytes together, and one at least.
+    Rows are sorted, which spills, and one pass over each engine's log, which is sequential, holds no more than a batch's sums.
+    """
+
+    def run(batches):
+        at, number, n, total, out = None, 0, 0, 0, []
+        for rows in batches:
+            for engine, more in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                if n and (engine != at or n == max_records or total + more > max_bytes):
+                    out.append((at, number, n, total))
+                    number, n, total = number + 1, 0, 0
+                if engine != at:
+                    at, number = engine, 0
+                n, total = n + 1, total + more
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+            out = []
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((at, number, n, total), kinds, strict=True)], names=names)
+
+    kinds, names = [pa.string(), pa.int64(), pa.int64(), pa.int64()], ["engine", "batch", "records", "bytes"]
+    given = writes.select(F.col(by).alias("engine"), F.col(size).cast("long").alias("bytes"), F.col(order).alias("__order"))
+    dealt = given.repartition("engine").sortWithinPartitions("engine", "__order").select("engine", "bytes")
+    return dealt.mapInArrow(run, "engine string, batch long, records long, bytes long")

@@ -243,3 +243,15 @@ def run_totals(spark, sf):
     i = F.col("s_suppkey")
     runs = table(spark, sf, "supplier").filter(i <= 42).select((i % 9).alias("dropped"), (i % 5).alias("errors"), i.alias("connects"), ((i % 23).cast("double") / 4).alias("cpu"))
     return bigint(telemetry.run_totals(runs))
+
+
+@query(
+    """WITH RECURSIVE w AS (SELECT concat('kv-', user_id % 6) AS engine, row_number() OVER (PARTITION BY user_id % 6 ORDER BY event_id) AS place, CAST(40 + floor(value) AS BIGINT) AS bytes FROM events),
+b AS (SELECT engine, place, bytes, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS n, bytes AS total FROM w WHERE place = 1
+ UNION ALL SELECT w.engine, w.place, w.bytes, CASE WHEN n = 20 OR total + w.bytes > 2000 THEN batch + 1 ELSE batch END, CASE WHEN n = 20 OR total + w.bytes > 2000 THEN 1 ELSE n + 1 END, CASE WHEN n = 20 OR total + w.bytes > 2000 THEN w.bytes ELSE total + w.bytes END
+ FROM b JOIN w ON w.engine = b.engine AND w.place = b.place + 1)
+SELECT engine, batch, max(n) AS records, max(total) AS bytes FROM b GROUP BY engine, batch"""
+)
+def group_commits(spark, sf):
+    writes = table(spark, sf, "events").selectExpr("concat('kv-', user_id % 6) as engine", "event_id as seq", "cast(40 + floor(value) as bigint) as bytes")
+    return delivery.group_commits(writes, max_records=20, max_bytes=2000)
