@@ -107,3 +107,12 @@ def views(sizes: DataFrame, members: str = "members", n: int = 3, vnodes: int =
     each = sizes.select(*keys, names.alias("x")).select(*keys, "x.m", F.explode("x.i").alias("i"))
     at = each.withColumn("pos", fnv1a32(F.concat("m", F.lit("-"), "i")))
     return at.groupBy(*keys).agg(F.count_distinct("pos").alias("positions"), F.min("pos").alias("lowest"), F.max("pos").alias("highest"))
+
+
+def with_member(positions: Sequence[tuple[int, str]], member: str, vnodes: int = VNODES) -> list[tuple[int, str]]:
+    """A ring's positions after one more member joins: the same as of a ring built of all at once."""
+    at = dict(positions)
+    for i in range(vnodes):
+        p = fnv1a32_py(f"{member}-{i}")
+        at[p] = min(at.get(p, member), member)
+    return sorted(at.items())

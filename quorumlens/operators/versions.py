@@ -136,3 +136,8 @@ def tombstoned(resolved: DataFrame, keys: Sequence[str] = ("key",), deleted: str
 def newest_first(df: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
     """df with ord: 0 for a key's newest sibling."""
     return df.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) - 1)
+
+
+def oldest_first(df: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+    """df with ord: 0 for a key's oldest sibling."""
+    return df.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)

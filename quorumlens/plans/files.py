@@ -110,3 +110,14 @@ def prediction_records(spark, sf):
     sinks.write_json_lines(sinks.per_key_predictions(each, TOPOLOGY.zones), path)
     back = spark.read.schema("key string, replicas array<string>, zones array<string>, expect map<string,map<string,string>>").json(path)
     return back.select("key", F.array_join("replicas", ",").alias("replicas"), F.col("expect")["group"]["get"].alias("group_get"), F.col("expect")["rest"]["get"].alias("rest_get"))
+
+
+@query(f"WITH l AS ({LOAD_SQL}) SELECT 'run-' || i AS run, target_rate AS rate, p99_ms + i AS p99_ms FROM l, range(3) AS r(i) WHERE pod = 0")
+def rate_chart(spark, sf):
+    """Rate against p99 of three ramps' tables, each told apart by its folder."""
+    base = scratch.folder(spark, "charts")
+    told = {"started": F.col("count"), "p50_ms": F.lit(1.5), "p95_ms": F.lit(2.5), "max_ms": F.col("p99_ms")}
+    for i in range(3):
+        rows = load(spark).filter("pod = 0").withColumns(told).withColumn("p99_ms", F.col("p99_ms") + i)
+        sinks.write_csv(rows.select([c.split()[0] for c in logs.STEPS.split(", ")]), f"{base}/run-{i}", ["pod", "step"])
+    return logs.rate_chart(spark, [f"{base}/run-{i}" for i in range(3)])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quorumlens.functions import hashes, scalars
 from quorumlens.operators import chaos, delivery, layers, membership, placement, telemetry, versions
-from quorumlens.plans.catalogue import REQUESTS, bigint, deduped, fnv, maximal, owned_requests, query, replica, replica_sql, requests, table, w1, w2
+from quorumlens.plans.catalogue import PODS, REQUESTS, TOPOLOGY, bigint, deduped, fnv, maximal, owned_requests, query, replica, replica_sql, requests, ring, table, w1, w2
 from quorumlens.plans.fixtures import fixture, with_clause
 from quorumlens.sources import logs, scratch, sinks
 
@@ -255,3 +255,38 @@ SELECT engine, batch, max(n) AS records, max(total) AS bytes FROM b GROUP BY eng
 def group_commits(spark, sf):
     writes = table(spark, sf, "events").selectExpr("concat('kv-', user_id % 6) as engine", "event_id as seq", "cast(40 + floor(value) as bigint) as bytes")
     return delivery.group_commits(writes, max_records=20, max_bytes=2000)
+
+
+# Reads of one place, rings that grow, quorums that can't be
+
+
+@query(f"{with_clause('W2')}, {deduped('d', 'W2', where='layer_rank = 0')}, {maximal('s', 'd')} SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC) - 1 AS ord FROM s WHERE key IN ('part-3', 'part-33', 'part-133', 'none')")
+def memtable_read(spark, sf):
+    """A point read of the newest layer alone, which is a copy: siblings newest first."""
+    rows = w2(spark, sf).filter(F.col("key").isin("part-3", "part-33", "part-133", "none") & (F.col("layer_rank") == 0))
+    return bigint(versions.newest_first(versions.survivors(rows)).select("key", "seq", "ord"))
+
+
+@query(f"{with_clause('W1')}, {maximal('s', 'W1')} SELECT key, seq, is_deleted, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS ord FROM s WHERE CAST(substr(key, 6) AS BIGINT) % 10 = 3")
+def store_read(spark, sf):
+    """Reads of a store for a set of keys: all siblings, tombstones too, oldest first."""
+    rows = versions.survivors(w1(spark, sf).filter(F.substr("key", F.lit(6)).cast("long") % 10 == 3))
+    return bigint(versions.oldest_first(rows).select("key", "seq", "is_deleted", "ord"))
+
+
+@query(f"WITH {ring('six', PODS)} SELECT pos, m AS node FROM six_r")
+def ring_joined(spark, sf):
+    """The ring after the sixth member joins five."""
+    return spark.createDataFrame(placement.with_member(placement.ring(PODS[:5]), PODS[5]), "pos long, node string")
+
+
+@query("SELECT n, w, r, w BETWEEN 1 AND n AND r BETWEEN 1 AND n AND n <= 6 AS valid FROM range(1, 9) AS a(n), range(0, 9) AS b(w), range(0, 9) AS c(r)")
+def topology_quorums(spark, sf):
+    def valid(n: int, w: int, r: int) -> bool:
+        try:
+            chaos.Topology(TOPOLOGY.zones, n, w, r)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(n, w, r, valid(n, w, r)) for n in range(1, 9) for w in range(9) for r in range(9)], "n long, w long, r long, valid boolean")
