@@ -7,7 +7,7 @@ by document: that gives the source's cut. A document
 before the cut is taken in the last, partial epoch, the one at the cut as far as the budget goes,
 and every document once in each full epoch. Only the cuts, a row for each source, are joined back.
 
-Defined results: a null or wordless text has size 0; a null source is a source of its own, the last;
+Defined results: a null or wordless text has size 0, and one of any length counts whole; a null source is a source of its own, the last;
 rows equal in id and text that stand at a cut share what is left evenly, each rounded down; an empty
 table gives an empty table; columns named like a result are replaced.
 """

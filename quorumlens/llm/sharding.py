@@ -1,7 +1,7 @@
 """Sharding by extendible hashing: the directory is indexed by hash-prefix bits.
 
 A bucket is a prefix of the 60-bit hash of a document's id and text. Bytes are summed by the longest
-prefix of a round (16 bits more in each), and the sums of shorter prefixes follow from those. A
+prefix of a round (15 bits more in each), and the sums of shorter prefixes follow from those. A
 bucket over its byte limit splits on the next bit, and only such a bucket; a shard is the shortest
 prefix that fits. What still doesn't fit goes to the next round. Rows equal in id and text have one
 hash; where those alone exceed the limit, the bucket gets overflow pages of as many rows as fit.
@@ -57,7 +57,7 @@ def shards(df: DataFrame, limit: int = SHARD_BYTES, *, doc_id: str = "doc_id", t
         own = found.withColumnsRenamed({c: f"__ql_{c}" for c in found.columns})
         # the first directory has 2**15 cells at most; later ones only those of buckets still too large
         joined = rows.withColumn("__ql_at", F.shiftright("__ql_key", KEY_BITS - bits)).join(F.broadcast(own) if i == 0 else own, F.expr("__ql_at = __ql_cell"), "inner").drop("__ql_at", "__ql_cell")
-        done.append(joined.filter("__ql_depth is not null").drop())
+        done.append(joined.filter("__ql_depth is not null"))
         rows = joined.filter("__ql_depth is null").select(*rows.columns)
     out = reduce(DataFrame.unionByName, done)
     pages = any(f.filter(f"single and shard_n > 1 and shard_bytes > {limit}").limit(1).count() for _, f in every)
