@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAPS = r"[\x20\x09-\x0D]+"
 
+#: Rows of some 100 bytes up to which a side of a join may be broadcast.
+FEW = 300_000
+
 _own: dict[str, str] = {}
 
 
@@ -57,6 +60,10 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)  # false where nothing was written
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlens.llm.common import forget, materialise, quoted, table
+from quorumlens.llm.common import FEW, bounded, forget, materialise, quoted, table
 from quorumlens.llm.components import components
 
 SEED, BITS, SHINGLE, MOST = 42, 64, 3, 3
@@ -141,26 +141,32 @@ def keyed(nodes: DataFrame, probe: bool) -> DataFrame:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints in nodes (fp) that differ in three bits at most, once each."""
+    """(a, b), a < b: all pairs of distinct fingerprints in nodes (fp) that differ in three bits at most, once each.
+
+    Each fingerprint has 7 keys and is looked up by up to 252; Spark takes both sides to be as small as nodes and
+    would broadcast them, so the join is told to shuffle.
+    """
     own, looked = keyed(nodes, False).withColumnRenamed("fp", "a"), keyed(nodes, True).withColumnRenamed("fp", "b")
     differ = "(a ^ b)"
     off = [f"bit_count(shiftrightunsigned({differ}, {low}) & {(1 << width) - 1}L)" for low, width in SEGMENTS]
     # a pair met under several keys counts under the first kind that it fits
     once = " ".join(f"when {off[a]} = 0 and {off[b]} <= 1 then {kind}L" for kind, (a, b) in enumerate(PAIRS))
-    return own.join(looked, "key").filter(f"a < b and bit_count({differ}) <= {MOST} and shiftright(key, {KIND_BIT}) = case {once} else {ALL}L end").select("a", "b")
+    return own.hint("merge").join(looked, "key").filter(f"a < b and bit_count({differ}) <= {MOST} and shiftright(key, {KIND_BIT}) = case {once} else {ALL}L end").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of each row of docs."""
     rows = materialise(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    few = nodes.count() <= FEW  # so are roots and components, of which these joins may broadcast any
+    told = (lambda df: df) if few else lambda df: df.hint("merge")
     roots = components(links(nodes))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(told(roots), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = materialise(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+    of = materialise(rooted.select("fp", "root").join(told(least), "root").select("fp", "component_id"), "components")
     forget(nodes, rooted, roots)
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(told(of), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +174,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Rows up to which the documents to drop are broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
-FEW = 300_000
-
-
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each component: that with the smallest id (null last), of equal ids that whose text has the least MD5.
 
@@ -191,7 +193,3 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
         twice = out.join(again, same, "left_semi").groupBy("__ql_id", "__ql_md5").agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias("r"))
         out = out.join(again, same, "left_anti").select(*columns).unionByName(twice.select("r.*"))
     return out.select(*[F.col(quoted(c)) for c in docs.columns])
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW else df

@@ -648,6 +648,25 @@ def test_links_of_close_fingerprints(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
 
 
+def test_links_broadcast_nothing(spark, tmp_path):
+    """7 keys and up to 252 lookups of each fingerprint look as small to Spark as the fingerprints do."""
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "nodes"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "nodes")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_stars_broadcast_no_edges(spark, tmp_path):
+    """Millions of edges may fit a small file; only the nodes' least ones are broadcast, if they are few."""
+    spark.range(20000).selectExpr("0L as a", "id + 1 as b").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    for large in (True, False):
+        many, few = (components.star(edges, large, f) for f in (False, True))
+        assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in few._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+        assert many.count() == 20000
+
+
 def test_equal_rows_and_null_ids_keep_one(spark):
     df = docs(spark, ["one two three four"] * 4 + ["five six seven eight"] * 3, ids=[None, 2, 2, None, 9, 9, 9])
     assert [(r.doc_id) for r in simhash.keep_first(df).orderBy("doc_id").collect()] == [2, 9]
