@@ -109,7 +109,7 @@ def flush_commit(spark, sf):
     rows = w1(spark, sf).withColumn("segment", hashes.bucket_for(F.col("key"), 4) + 1)
     entry = F.to_json(F.struct(F.col("key").alias("Key"), F.col("seq").cast("string").alias("Value"), F.col("clock").alias("VectorClock"), F.col("node").alias("LastUpdatedBy"), F.col("is_deleted").alias("IsDeleted")))
     sinks.append_log(rows.select("segment", "seq", entry.alias("json")), f"{base}/log").write.format("noop").mode("overwrite").save()
-    log = logs.log_versions(logs.log_entries(logs.log_segments(spark, f"{base}/log")))
+    log = scratch.written(logs.log_versions(logs.log_entries(logs.log_segments(spark, f"{base}/log"))), "log-versions")  # a replay reads it several times
     sinks.write_layer(versions.replay(log).select("key", F.col("value_json").cast("long").alias("seq"), "clock", "is_deleted"), f"{base}/sst_001")
     sinks.register(spark, f"{base}/manifest", ["sst_001"], [])
     sinks.drop_segments(spark, f"{base}/log", 4)

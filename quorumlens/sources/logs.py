@@ -17,6 +17,7 @@ READBACK = "key string, time long, target string, result string, code string, ms
 STEPS = "pod int, step int, op string, target_rate double, seconds int, started long, achieved_rate double, count long, p50_ms double, p95_ms double, p99_ms double, max_ms double, errors long, dropped long"
 LOG_ENTRY = "Key string, Value string, VectorClock map<string,bigint>, LastUpdatedBy string, IsDeleted boolean, Op tinyint, Items array<struct<Value:string,VectorClock:map<string,bigint>,LastUpdatedBy:string,IsDeleted:boolean>>"
 HEADER = 8  # fixed value: bytes of a log record's length and checksum
+HELD = 4_000_000  # bytes of log records after which a task passes them on
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
@@ -126,37 +127,67 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """(segment, content) of a log folder: wal_ and 20 digits, or wal.log as segment 0; empty files are left out."""
+    """(segment, path, content) of a log folder: wal_ and 20 digits, or wal.log as segment 0; empty files are left out.
+
+    content is null where Arrow opens the folder itself, so that segments of any size are read bit by bit.
+    """
+    from pyarrow import fs
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    try:
+        fs.FileSystem.from_uri("/" if whole.startswith("file:") else whole)
+        content = F.lit(None).cast("binary")
+    except (ValueError, OSError, ImportError):
+        content = F.col("content")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "wal*").load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     number = F.when(name == "wal.log", 0).otherwise(F.regexp_extract(name, r"^wal_(\d{20})", 1).try_cast("long"))
-    return files.filter("length > 0").select(number.alias("segment"), "content").filter("segment is not null")
+    return files.filter("length > 0").select(number.alias("segment"), "path", content.alias("content")).filter("segment is not null")
 
 
 def log_entries(segments: DataFrame) -> DataFrame:
     """(segment, place, entry...) of the log records before the first torn one of each segment.
 
-    Records are found by walking lengths, which is sequential within a segment; segments are bounded files.
+    Records are found by walking lengths, which is sequential within a segment; a task holds some records at a time.
     """
     import pyarrow as pa
 
     def run(batches):
+        import io
         import zlib
 
+        from pyarrow import fs
+
+        def opened(path, content):
+            if content is not None:
+                return io.BytesIO(content), len(content)
+            system, at = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+            return system.open_input_stream(at, buffer_size=1 << 20), system.get_file_info(at).size
+
+        def told(segment, first, bodies):
+            n = len(bodies)
+            return pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(bodies, pa.string())], names=["segment", "place", "json"])
+
         for batch in batches:
-            rows = []
-            for segment, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = place = 0
-                while at + HEADER <= len(content):
-                    size, crc = int.from_bytes(content[at : at + 4], "big"), int.from_bytes(content[at + 4 : at + HEADER], "big")
-                    body = content[at + HEADER : at + HEADER + size]
-                    if len(body) < size or zlib.crc32(body) != crc:
-                        break
-                    rows.append((segment, place, body.decode("utf-8", "replace")))
-                    at, place = at + HEADER + size, place + 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["segment", "place", "json"])
-
-    raw = segments.select(F.col("segment").cast("long").alias("segment"), "content").mapInArrow(run, "segment long, place long, json string")
+            for segment, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                stream, left = opened(path, content)
+                with stream:
+                    place, bodies, held = 0, [], 0
+                    while left >= HEADER:
+                        head = stream.read(HEADER)
+                        size, crc = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:], "big")
+                        left -= HEADER + size
+                        if left < 0 or len(body := stream.read(size)) < size or zlib.crc32(body) != crc:
+                            break
+                        bodies.append(body.decode("utf-8", "replace"))
+                        held += size
+                        if len(bodies) >= 10_000 or held >= HELD:
+                            yield told(segment, place, bodies)
+                            place, bodies, held = place + len(bodies), [], 0
+                    yield told(segment, place, bodies)
+
+    raw = segments.select(F.col("segment").cast("long").alias("segment"), "path", "content").mapInArrow(run, "segment long, place long, json string")
     return raw.select("segment", "place", F.from_json("json", LOG_ENTRY, {"mode": "FAILFAST"}).alias("e")).select("segment", "place", "e.*")
 
 

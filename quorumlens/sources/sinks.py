@@ -41,22 +41,39 @@ def exists(spark: SparkSession, path: str) -> bool:
 def append_log(entries: DataFrame, path: str, segment: str = "segment", order: str = "seq") -> DataFrame:
     """Write entries (segment, seq, json) as log segments, a file each: length, CRC-32 and payload of every record, in order.
 
-    Returns (segment, records). A segment is a bounded file that one task writes in one go; a task that runs again writes
-    the same bytes under the same name.
+    Returns (segment, records). One task writes a segment's file, from rows that Spark has sorted (which spills), so its
+    memory doesn't grow with the segment; a task that runs again writes the same bytes under the same name.
     """
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        number = key[0].as_py()
-        bodies = [j.encode() for _, j in sorted(zip(rows.column(order).to_pylist(), rows.column("json").to_pylist(), strict=True))]
-        system, at = fs.FileSystem.from_uri(path)
-        system.create_dir(at, recursive=True)
-        with system.open_output_stream(f"{at}/wal_{number:020d}.log") as out:
-            for body in bodies:
-                out.write(len(body).to_bytes(4, "big") + zlib.crc32(body).to_bytes(4, "big") + body)
-        return pa.table({"segment": pa.array([number], pa.int64()), "records": pa.array([len(bodies)], pa.int64())})
-
-    given = entries.select(F.col(segment).cast("long").alias("segment"), F.col(order).cast("long").alias(order), "json")
-    return given.groupBy("segment").applyInArrow(run, "segment long, records long")
+    def run(batches):
+        number = out = system = None
+        records = 0
+        try:
+            for batch in batches:
+                for segment, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if segment != number:
+                        if out is not None:
+                            out.close()
+                            yield counted(number, records)
+                        system, at = fs.FileSystem.from_uri(path)
+                        system.create_dir(at, recursive=True)
+                        out = system.open_output_stream(f"{at}/wal_{segment:020d}.log", buffer_size=1 << 20)
+                        number, records = segment, 0
+                    body = body.as_py().encode()
+                    out.write(len(body).to_bytes(4, "big") + zlib.crc32(body).to_bytes(4, "big") + body)
+                    records += 1
+        finally:
+            if out is not None:
+                out.close()
+        if number is not None:
+            yield counted(number, records)
+
+    def counted(number: int, records: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([records], pa.int64())], names=["segment", "records"])
+
+    given = entries.select(F.col(segment).cast("long").alias("segment"), F.col(order).cast("long").alias("seq"), "json")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, so that no partition is dealt anew
+    return given.repartition(parts, "segment").sortWithinPartitions("segment", "seq", "json").select("segment", "json").mapInArrow(run, "segment long, records long")
 
 
 def drop_segments(spark: SparkSession, path: str, through: int) -> None:

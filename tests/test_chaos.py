@@ -123,3 +123,22 @@ def test_layer_round_trip(spark, tmp_path):
     assert sorted(spark.read.parquet(str(tmp_path / "layer")).select("key", "seq").collect()) == [("a", 2), ("a", 3), ("b", 1)]
     sinks.write_text(str(tmp_path / "x"), "hi")
     assert (tmp_path / "x").read_text() == "hi"
+
+
+def test_a_segment_is_written_and_read_bit_by_bit(spark, tmp_path, monkeypatch):
+    """No column holds a whole segment, and no task gathers one: a segment may be larger than an executor."""
+    from quorumlens.sources import logs as reader
+
+    monkeypatch.setattr(reader, "HELD", 1000)
+    path = f"file://{tmp_path}/log"
+    rows = spark.range(30000).selectExpr("id % 3 + 1 as segment", "30000 - id as seq", "concat('{\"Key\":\"é', id, '\",\"Value\":\"1\",\"VectorClock\":{\"a\":', id + 1, '},\"LastUpdatedBy\":\"a\",\"IsDeleted\":false}') as json")
+    written = sinks.append_log(rows, path)
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Sort" in plan
+    assert sorted(map(tuple, written.collect())) == [(1, 10000), (2, 10000), (3, 10000)]
+    segments = reader.log_segments(spark, path)
+    assert segments.filter("content is not null").count() == 0
+    entries = reader.log_entries(segments)
+    got = sorted((r.segment, r.place, r.Key) for r in entries.collect())
+    want = [(s, n, f"é{i}") for s in (1, 2, 3) for n, i in enumerate(sorted((i for i in range(30000) if i % 3 + 1 == s), reverse=True))]
+    assert got == want
