@@ -61,7 +61,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW else df
+    """The right side of a join: broadcast if it has few rows, never beyond, however few bytes its file has."""
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

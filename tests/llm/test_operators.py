@@ -753,3 +753,15 @@ def test_contamination_of_very_long_texts(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination.contamination(docs(spark, texts), bench).collect()}
     assert [got[i] for i in range(3)] == brute_contamination(texts, items)
+
+
+def test_many_dropped_documents_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Beyond FEW rows a join shuffles, even where the rows' file is small enough for Spark to broadcast."""
+    from quorumlens.llm import common
+
+    spark.range(1000).selectExpr("id as __ql_i", "md5('same') as __ql_m").write.parquet(str(tmp_path / "marks"))
+    marks, rows = spark.read.parquet(str(tmp_path / "marks")), spark.range(2000).selectExpr("id as __ql_id", "md5('same') as __ql_md5")
+    joined = lambda: rows.join(common.bounded(marks), F.expr("__ql_id <=> __ql_i and __ql_md5 = __ql_m"), "left_anti")
+    assert "Broadcast" in joined()._jdf.queryExecution().executedPlan().toString() and joined().count() == 1000
+    monkeypatch.setattr(common, "FEW", 10)
+    assert "Broadcast" not in joined()._jdf.queryExecution().executedPlan().toString() and joined().count() == 1000
